@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, tokens
 
 
 def queries():
-    return {"op7_mixing": mixing.op7_mixing}
+    return {"op7_mixing": mixing.op7_mixing, "op9_tokens": tokens.op9_tokens}
 
 
 def oracle_sql():
