@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, flac, licenses, mixing, tokens, warc
+from . import chat, decontam, flac, licenses, mixing, quality, tokens, toxicity, warc
 
 
 def queries():
-    return {"op4_chat": chat.op4_chat, "op8_flac": flac.op8_flac, "op5_licenses": licenses.op5_licenses, "op6_warc": warc.op6_warc, "op7_mixing": mixing.op7_mixing, "op10_decontam": decontam.op10_decontam, "op9_tokens": tokens.op9_tokens}
+    return {"op1_quality": quality.op1_quality, "op2_toxicity": toxicity.op2_toxicity, "op4_chat": chat.op4_chat, "op8_flac": flac.op8_flac, "op5_licenses": licenses.op5_licenses, "op6_warc": warc.op6_warc, "op7_mixing": mixing.op7_mixing, "op10_decontam": decontam.op10_decontam, "op9_tokens": tokens.op9_tokens}
 
 
 def oracle_sql():
-    return {"op4_chat": chat.OP4_SQL, "op6_warc": warc.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op10_decontam": decontam.OP10_SQL}
+    return {"op1_quality": quality.op1_quality, "op2_toxicity": toxicity.op2_toxicity, "op4_chat": chat.OP4_SQL, "op6_warc": warc.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op10_decontam": decontam.OP10_SQL}
