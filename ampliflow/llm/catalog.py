@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, flac, licenses, mixing, quality, tokens, toxicity, warc
+from . import chat, decontam, flac, licenses, mixing, ngram_join, quality, tokens, toxicity, warc
 
 
 def queries():
     return {
         "op1_quality": quality.op1_quality,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_chat": chat.op4_chat,
         "op5_licenses": licenses.op5_licenses,
         "op6_warc": warc.op6_warc,
