@@ -1,8 +1,72 @@
-"""A corpus pipeline over documents: filters, near copies, decontamination and mixing."""
+"""A corpus pipeline over documents: quality, toxicity, near copies, benchmark decontamination, mixing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before kept; run() writes each stage's result
+as Parquet to the shared folder and reads it again. All stages but the last keep the columns of documents. Models are
+fitted on labelled rows of the whole documents table, whatever earlier stages left of it.
+
+Null texts: judged as empty. Rows with a null doc_id are never dropped as copies, since no id tells them apart; repeated
+rows of one doc_id and text count as one document from the third stage on.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ampliflow.llm import decontam, mixing, ngram_join, quality, toxicity
+from ampliflow.llm.shared import table, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids to leave out up to which they are broadcast; beyond it documents are shuffled to them.
+BROADCAST_IDS = 1_000_000
+#: Benchmark items with an occurring window from which a document is left out of training data.
+LEAKED_ITEMS = 1
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model, "_score").where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model, "_score", "_where").where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component stays."""
+    found = written(ngram_join.near_components(docs), "components")
+    out = found.where("component_id <> doc_id").select("doc_id").distinct()
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    again = small(again)
+    left = docs.join(small(out), "doc_id", "left_anti")
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("hit_items") < LEAKED_ITEMS).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", one_of_each),
+    ("benchmark_decontamination", drop_leaks),
+    ("mixing", mix_sources),
+]
+#: SQL can't express the models; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
