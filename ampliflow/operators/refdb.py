@@ -156,9 +156,9 @@ def load_taxonomy(nodes: DataFrame, names: DataFrame, merged: DataFrame, ancesto
     top = below.join(tree.where("rank in ('species', 'species group', 'species subgroup')").select("taxid", "rank"), "taxid").join(scientific, "taxid")
     named = top.join(genera.withColumnRenamed("taxid", "genus_id"), "genus_id").where(~is_rejected_name(F.col("name")))
     # 'A x Genus b' as 'A x b'; the genus in front of the species name is taken off
-    short = F.when(F.col("name").startswith(F.concat(F.col("genus"), F.lit(" "))), F.expr("substring(name, length(genus) + 2)")).otherwise(F.col("name"))
-    short = F.replace(short, F.concat(F.lit(" x "), F.col("genus"), F.lit(" ")), F.lit(" x "))
-    species = named.select(F.col("taxid").alias("ncbi_taxid"), "genus", short.alias("species"))
+    short0 = F.when(F.col("name").startswith(F.concat(F.col("genus"), F.lit(" "))), F.expr("substring(name, length(genus) + 2)")).otherwise(F.col("name"))
+    short = F.expr("replace(concat(' ', _short), concat(' x ', genus, ' '), ' x ')")
+    species = named.withColumn("_short", short0).select(F.col("taxid").alias("ncbi_taxid"), "genus", F.trim(short).alias("species"))
     taxonomy = genera.select(F.col("taxid").alias("ncbi_taxid"), "genus", F.lit("").alias("species")).unionByName(species)
     minor = subtree(tree, species.select(F.col("ncbi_taxid").alias("taxid"))).where("depth > 0").select("taxid", "root")
     minor = minor.join(species.select(F.col("ncbi_taxid").alias("taxid")), "taxid", "left_anti")

@@ -234,7 +234,7 @@ def synonym_lookup(spark, sf):
     return refdb.by_name(t("customer").select(F.col("c_name").alias("name")), taxonomy, synonyms)
 
 
-@query(ctes("nodes") + """, RECURSIVE_ AS (SELECT 1), t AS (SELECT n.taxid, 10 AS root, 0 AS depth FROM nodes n WHERE n.taxid = 10
+@query(ctes("nodes") + """, t AS (SELECT n.taxid, 10 AS root, 0 AS depth FROM nodes n WHERE n.taxid = 10
 UNION ALL SELECT n.taxid, 10, 1 FROM nodes n WHERE n.parent = 10 UNION ALL SELECT s.taxid, 10, 2 FROM nodes n JOIN nodes s ON s.parent = n.taxid WHERE n.parent = 10) SELECT taxid, root, depth FROM t""")
 def tax_subtree(spark, sf):
     return refdb.subtree(frame(spark, sf, "nodes"), spark.createDataFrame([(10,)], "taxid int"))
@@ -379,10 +379,8 @@ _METRICS = """CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0::DOUBLE
 
 
 def _assess_sql(tail: str) -> str:
-    sql = _tiers_sql(1, _PAIRS + tail)
-    extra = ctes("known")
-    # the fixture's CTEs once, with 'known' among them
-    return sql.replace("WITH ", "WITH known AS (" + extra.split("known AS (", 1)[1].rstrip(")").rstrip() + "), ", 1) if False else sql.replace(", r1 AS (SELECT", ", known AS (" + extra.split("known AS (", 1)[1][:-1] + "), r1 AS (SELECT", 1)
+    known = ctes("known").split("known AS (", 1)[1]
+    return _tiers_sql(1, _PAIRS + tail).replace(", r1 AS (SELECT", f", known AS ({known}, r1 AS (SELECT", 1)
 
 
 def _confusion(spark, sf):
@@ -519,17 +517,17 @@ def seq_scalars(spark, sf):
 
 def _title_query(convention: str, title, sql: str):
     def run(spark, sf):
-        return frame(spark, sf, "part").select("p_partkey", titles.CONVENTIONS[convention](title).alias("t")).select("p_partkey", "t.taxid", "t.name")
+        return frame(spark, sf, "part").select("p_partkey", titles.CONVENTIONS[convention](F.format_string(*title)).alias("t")).select("p_partkey", "t.taxid", "t.name")
 
     run.__name__ = f"name_parse_{convention}"
     return query(sql)(run)
 
 
-_title_query("simple", F.format_string("P%d %s  %s [taxid=%d] more", "p_partkey", "p_type", "p_brand", "p_size"), "SELECT p_partkey, p_size AS taxid, p_type || ' ' || p_brand || ' [' AS name FROM part".replace(" || ' ['", ""))
-_title_query("taxid", F.format_string("P%d:%s:taxid=%d", "p_partkey", "p_type", "p_size"), "SELECT p_partkey, p_size AS taxid, '' AS name FROM part")
-_title_query("sintax", F.format_string("P%d;tax=d:X,g:%s,s:%s_%s;", "p_partkey", "p_type", "p_type", "p_brand"), "SELECT p_partkey, 0 AS taxid, p_type || ' ' || p_brand AS name FROM part")
-_title_query("obitools", F.format_string("P%d species_name=%s; taxid=%d; other", "p_partkey", "p_name", "p_size"), "SELECT p_partkey, p_size AS taxid, p_name AS name FROM part")
-_title_query("ncbi", F.format_string("P%d.1 %s cf. x more words", "p_partkey", "p_type"), "SELECT p_partkey, 0 AS taxid, p_type || ' cf. x more' AS name FROM part")
+_title_query("simple", ("P%d %s  %s [taxid=%d] more", "p_partkey", "p_type", "p_brand", "p_size"), "SELECT p_partkey, p_size AS taxid, p_type || ' ' || p_brand AS name FROM part")
+_title_query("taxid", ("P%d:%s:taxid=%d", "p_partkey", "p_type", "p_size"), "SELECT p_partkey, p_size AS taxid, '' AS name FROM part")
+_title_query("sintax", ("P%d;tax=d:X,g:%s,s:%s_%s;", "p_partkey", "p_type", "p_type", "p_brand"), "SELECT p_partkey, 0 AS taxid, p_type || ' ' || p_brand AS name FROM part")
+_title_query("obitools", ("P%d species_name=%s; taxid=%d; other", "p_partkey", "p_name", "p_size"), "SELECT p_partkey, p_size AS taxid, p_name AS name FROM part")
+_title_query("ncbi", ("P%d.1 %s cf. x more words", "p_partkey", "p_type"), "SELECT p_partkey, 0 AS taxid, p_type || ' cf. x more' AS name FROM part")
 
 
 # ---- documents as sequences -----------------------------------------------------------------------------------
