@@ -36,13 +36,9 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_whole_analysis(spark):
-    out = pipeline.run(
-        frame(spark, SF, "reads"), frame(spark, SF, "samples"), frame(spark, SF, "refs"), frame(spark, SF, "spikes"), frame(spark, SF, "known"),
-        pipeline.Settings(min_abundance=20),
-    )
+    out = pipeline.run(frame(spark, SF, "reads"), frame(spark, SF, "samples"), frame(spark, SF, "refs"), frame(spark, SF, "spikes"), settings=pipeline.Settings(min_abundance=20))
     assert out["classified"].count() == out["tally"].count() > 0
-    overall = out["assessment"].where("part = 0").first()
-    assert overall.tp + overall.fp + overall.fn + overall.tn > 0
+    assert set(out["samples"].columns) > {"sample", "threshold", "summary", "accepted"}
 
 
 def test_streaming_equals_batch(spark):
