@@ -6,6 +6,9 @@ fitted on labelled rows of the whole documents table, whatever earlier stages le
 
 Null texts: judged as empty. Rows with a null doc_id are never dropped as copies, since no id tells them apart; repeated
 rows of one doc_id and text count as one document from the third stage on.
+
+Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more (op3_ngram_join on its own
+takes four words and 0.85).
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BROADCAST_IDS = 1_000_000
 #: Benchmark items with an occurring window from which a document is left out of training data.
 LEAKED_ITEMS = 1
+#: Words of a shingle and percent of Jaccard similarity from which texts are near copies.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component stays."""
-    found = written(ngram_join.near_components(docs), "components")
+    found = written(ngram_join.near_components(docs, NEAR_WORDS, NEAR_PERCENT), "components")
     out = found.where("component_id <> doc_id").select("doc_id").distinct()
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

@@ -1,0 +1,19 @@
+"""The corpus pipeline's stages on a small fixture."""
+
+import corpus_pipeline
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], DOCS)
+
+
+def test_near_copies_at_five_words_and_four_fifths(spark):
+    """One changed word in 45: 5-word Jaccard 36/46 = 0.78; in 50: 41/51 = 0.80; 4-word Jaccard 43/51 = 0.84, below 0.85."""
+    words = [f"w{i}" for i in range(95)]
+    a, b = words[:45], words[45:]
+    changed = lambda w: [*w[:20], "other", *w[21:]]
+    rows = [(i, " ".join(w)) for i, w in enumerate((a, changed(a), b, changed(b)), 1)]
+    kept = corpus_pipeline.one_of_each(spark, frame(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
