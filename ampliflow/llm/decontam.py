@@ -44,7 +44,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     n_windows = wins.count()
     small = (lambda x: F.broadcast(x)) if n_windows <= BROADCAST_WINDOWS else (lambda x: x)
     vocabulary = wins.select(F.explode("words").alias("word")).distinct()
-    texts = docs.select(F.col("doc_id").alias("_id"), plain_words(F.col("text")).alias("_words"))
+    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), plain_words(F.col("text")).alias("_words"))
     seen = texts.select(F.explode(F.array_distinct("_words")).alias("word")).join(small(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     ranked = wins.select("win", "len", F.posexplode("words").alias("at", "word")).join(small(seen), "word", "left")
     # a window with a word that no text has cannot occur
@@ -55,16 +55,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     prefix = prefix.withColumn("side", toward).withColumn("beside", F.get(F.split("win", " "), F.col("off") + F.col("side")))
     prefix = written(prefix, "prefixes")
     pairs = F.transform("_words", lambda w, i: F.struct(w.alias("w"), F.get(F.col("_words"), i - 1).alias("b"), F.get(F.col("_words"), i + 1).alias("a")))
-    placed = texts.select("_id", F.size("_words").alias("_n"), F.posexplode(pairs).alias("_pos", "g"))
+    placed = texts.select("_id", "_h", F.size("_words").alias("_n"), F.posexplode(pairs).alias("_pos", "g"))
     match = (F.col("g.w") == F.col("word")) & F.when(F.col("side") == 1, F.col("g.a") == F.col("beside")).when(F.col("side") == -1, F.col("g.b") == F.col("beside")).otherwise(True)
     start = F.col("_pos") - F.col("off")
     found = placed.join(small(prefix), match & (start >= 0) & (start + F.col("len") <= F.col("_n")))
-    found = found.select("_id", F.struct(start.alias("start"), "win").alias("c")).distinct()
-    found = written(found.groupBy("_id").agg(F.collect_list("c").alias("_found")), "candidates")
+    found = found.select("_id", "_h", F.struct(start.alias("start"), "win").alias("c")).distinct()
+    # the text's hash parts rows without an id; where it is the same for two texts, each is still compared with its own
+    found = written(found.groupBy("_id", "_h").agg(F.collect_list("c").alias("_found")), "candidates")
     total = found.agg(F.coalesce(F.sum(F.size("_found")), F.lit(0)).cast("long")).first()[0]
     if total <= BROADCAST_CANDIDATES:
         found = F.broadcast(found)
-    kept = docs.join(found, docs["doc_id"] == found["_id"], "left").drop("_id").withColumn("_words", plain_words(F.col("text")))
+    own = docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_h"])
+    kept = docs.join(found, own, "left").drop("_id", "_h").withColumn("_words", plain_words(F.col("text")))
     same = lambda c: F.array_join(F.slice(F.col("_words"), c["start"] + 1, F.size(F.split(c["win"], " "))), " ") == c["win"]
     kept = kept.withColumn("_found", F.coalesce(F.filter("_found", same), F.array().cast(found.schema["_found"].dataType)))
     places = F.flatten(F.transform("_found", lambda c: F.sequence(c["start"], c["start"] + F.size(F.split(c["win"], " ")) - 1)))

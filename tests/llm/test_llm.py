@@ -319,6 +319,20 @@ def test_decontamination(spark):
         assert (found[i].n_words, found[i].n_hit, found[i].hit_items) == (len(w), len(hit), sorted(ids))
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_decontamination_of_rows_without_id(spark, monkeypatch, limit):
+    if limit is not None:  # shuffled joins instead of broadcasts
+        for name in ("BROADCAST_CANDIDATES", "BROADCAST_WINDOWS"):
+            monkeypatch.setattr(decontam, name, limit)
+    leak, other = "one two three four five six seven eight", "nine ten eleven twelve"
+    texts = [(None, f"x {leak} y"), (None, f"{other} z"), (None, "clean"), (None, None), (None, f"x {leak} y"), (7, leak), (7, other), (8, "clean")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(1, leak), (2, other)], "item_id long, text string")
+    found = sorted(((r.doc_id or 0), r.text or "", r.n_hit, r.hit_items) for r in decontam.decontaminate(docs, items).collect())
+    wanted = {leak: (8, ["1"]), other: (4, ["2"])}
+    assert found == sorted((i or 0, t or "", *next((x for w, x in wanted.items() if w in (t or "")), (0, []))) for i, t in texts)
+
+
 # ---- shared ---------------------------------------------------------------------------------------------------
 
 
