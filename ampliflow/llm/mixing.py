@@ -79,12 +79,13 @@ def _inverse_demand(share: Column, rank: Column) -> Column:
 
 
 def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, ordered: bool = True) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, position, source; range-sorted by position.
+    """doc_id, size, source_size, target, taken, copies, position, positions, source; range-sorted by position.
 
     A source's documents are laid in a fixed pseudo-random order; the supply is that order repeated, and
     the mix takes its first floor(target) words: every document whole ``copies`` times, and once more, in
-    part for the one on the edge, where the last round ends. ``position`` is the training time of the
-    middle of a document's first taken stretch; null where nothing of it is taken.
+    part for the one on the edge, where the last round ends. ``positions`` are the training times of the
+    middles of all taken stretches, in order: one for each whole copy and one for the part on the edge; empty
+    where nothing is taken. ``position`` is the first of them or null.
 
     Null text: size 0. Null source: a source of its own, last. Null doc_id and repeated rows are kept, each
     row on its own; rows equal in every field may swap their share. No rows in: no rows out. Other columns
@@ -109,9 +110,18 @@ def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, ordered: bool =
     rows = rows.withColumn("copies", copies).withColumn("_rest", F.when(F.col("source_size") > 0, demand - copies * F.col("source_size")).otherwise(F.lit(0)))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - (F.col("_end") - F.col("size"))))
     rows = rows.withColumn("taken", (F.col("copies") * F.col("size") + extra).cast("long"))
-    middle = (F.col("_end") - F.col("size") + F.least(F.col("size"), F.col("taken")) / 2) / F.col("target")
-    rows = rows.withColumn("position", F.when(F.col("taken") > 0, _inverse_demand(F.least(middle, F.lit(1.0)), F.col("rank"))))
-    out = rows.select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "source")
+    start = F.col("_end") - F.col("size")
+
+    def placed(copy: Column) -> Column:
+        stretch = F.when(copy < F.col("copies"), F.col("size")).otherwise(extra)
+        middle = (copy * F.col("source_size") + start + stretch / 2) / F.col("target")
+        return _inverse_demand(F.least(middle, F.lit(1.0)), F.col("rank"))
+
+    rounds = F.col("copies") + F.when(extra > 0, 1).otherwise(0)
+    each = F.transform(F.sequence(F.lit(0).cast("long"), rounds - 1), placed)
+    rows = rows.withColumn("positions", F.when(F.col("taken") > 0, each).otherwise(F.array().cast("array<double>")))
+    rows = rows.withColumn("position", F.get("positions", F.lit(0)))
+    out = rows.select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "positions", "source")
     return out.orderBy(F.col("position").asc_nulls_last(), F.col("doc_id")) if ordered else out
 
 

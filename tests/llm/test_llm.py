@@ -246,6 +246,26 @@ def test_mixing(spark):
     assert [tuple(r) for r in mixing.mix(spark.createDataFrame(rows, DOCS).repartition(3)).collect()] == [tuple(r) for r in found]
 
 
+def test_mixing_places_every_copy(spark):
+    """Up to two rounds of one source: the middles of all stretches, end to end in one supply order, at their share of the demand."""
+    rng = random.Random(10)
+    rows = [(i, prose(rng, rng.randint(0, 30)), "en", "a", 1) for i in range(50)]
+    for share in (0.3, 1.5, 1.9):
+        found = mixing.mix(spark.createDataFrame(rows, DOCS), share).collect()
+        target, total = found[0].target, found[0].source_size
+        demand, at, wanted = int(target), 0, defaultdict(list)
+        order = sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())
+        for i, text, *_ in order * 3:
+            took = min(len(text.split()), demand - at)
+            if took > 0:
+                wanted[i].append((at + took / 2) / target)  # the first source's schedule is level
+            at += took
+        assert target == pytest.approx(share * total) and at == demand
+        assert {r.doc_id: r.positions for r in found} == {r[0]: pytest.approx(wanted[r[0]]) for r in rows}
+        assert all(r.position == (r.positions or [None])[0] for r in found)
+        assert max(max(r.positions, default=0) for r in found) > 0.9
+
+
 # ---- 8 --------------------------------------------------------------------------------------------------------
 
 
