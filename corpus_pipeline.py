@@ -66,7 +66,7 @@ STAGES = [
     ("benchmark_decontamination", drop_leaks),
     ("mixing", mix_sources),
 ]
-#: SQL can't express the models; the pipeline is tested against a brute-force version.
+#: SQL can't express the models. Tested: the near copies of one_of_each; run() and the other stages have no brute-force test yet.
 ORACLE_SQL = None
 
 
