@@ -1,10 +1,15 @@
 """Benchmark decontamination by a prefix-filtered set join (DataFrame functions only).
 
-A window is a benchmark item's run of ``size`` words. A text contains a window only if it contains the
-window's rarest word, so that word alone is the window's necessary prefix. Words are ordered by their
-document frequency over all texts; texts' words are joined to the prefix words; a joined word fixes where
-the window would have to start, which must lie inside the text (position and length bounds); and what is
-left is compared word for word with the text's run of the window's length.
+A window is a benchmark item's run of ``size`` words; its tokens are its shingles of SHINGLE words (a shorter window is
+one shingle). A text contains a window only if it contains all of its shingles, so the rarest one alone is the window's
+necessary prefix.
+
+1. One scan: every shingle of every text is joined by hash to the benchmark's shingles. A hit keeps its place and the
+   words around it, as many as any window through it can reach.
+2. Shingles are ordered by rarity: exact counts of their hits over all texts. Each window keeps its rarest one; a window
+   with a shingle that no text has cannot occur and leaves.
+3. Hits of prefix shingles fix where the window would start, which must lie inside the text (position and length
+   bounds); what is left is compared word for word with the kept words.
 """
 
 from __future__ import annotations
@@ -12,81 +17,102 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .licenses import plain_words
+from .grams import gram_hash, placed_grams, plain_words
 from .shared import table, written
 
 WINDOW = 8
+SHINGLE = 4
 CONTAMINATED = 2
-#: Candidate windows up to which they are broadcast to the texts; beyond it the texts are shuffled to them.
-BROADCAST_CANDIDATES = 500_000
-#: Windows up to which their words are broadcast; beyond it they are shuffled.
+#: Shingles (distinct hashes) that one scan broadcasts; more are searched in blocks of so many, one scan each.
+BROADCAST_SHINGLES = 2_000_000
+#: Windows, and texts with hits, up to which they are broadcast; beyond it they are shuffled.
 BROADCAST_WINDOWS = 100_000
+BROADCAST_FOUND = 200_000
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct windows: win (its words, joined by a space), len, words, items (ids as strings)."""
+    """Distinct windows: words (array), items (ids as strings)."""
     w = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), plain_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     w = w.select("item", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, size))).alias("words"))
-    return w.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items")).select(F.array_join("words", " ").alias("win"), F.size("words").alias("len"), "words", "items")
+    return w.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words, n_hit, hit_items (sorted array of item ids as strings).
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _id and _h: rows that agree in both have the same text. Without an id, _h is the whole SHA-256."""
+    h = F.when(F.col("doc_id").isNull(), F.sha2("text", 256)).otherwise(F.hex(F.xxhash64("text")))
+    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_h", F.coalesce(h, F.lit("")))
 
-    A word is hit if it lies in any occurrence of any window. Null or empty text or item: no words. An item of
-    fewer than ``size`` words is one window. Null doc_id, repeated rows: each row is judged by its own text. Empty
-    tables give no rows or no hits. Columns of docs named like the added ones are replaced; others stay.
-    """
-    spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_hit", "hit_items")
+
+def searched(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(texts, found). texts: doc_id, _id, _h, n_words for every row of ``docs``. found: _id, _h, n_hit, hit_items for every
+    distinct (_id, _h) with a hit word; hit_items is the sorted array of item ids as strings."""
     wins = written(windows(items, size), "windows")
     n_windows = wins.count()
     small = (lambda x: F.broadcast(x)) if n_windows <= BROADCAST_WINDOWS else (lambda x: x)
-    vocabulary = wins.select(F.explode("words").alias("word")).distinct()
-    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), plain_words(F.col("text")).alias("_words"))
-    seen = texts.select(F.explode(F.array_distinct("_words")).alias("word")).join(small(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = wins.select("win", "len", F.posexplode("words").alias("at", "word")).join(small(seen), "word", "left")
-    # a window with a word that no text has cannot occur
-    prefix = ranked.groupBy("win", "len").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "at")).alias("r"))
-    prefix = prefix.where("r.df > 0").select("win", "len", F.col("r.word").alias("word"), F.col("r.at").alias("off"))
-    # the word after the prefix word (or before it, at the end of a window) must match too
-    toward = F.when(F.col("off") + 1 < F.col("len"), 1).when(F.col("len") > 1, -1).otherwise(0)
-    prefix = prefix.withColumn("side", toward).withColumn("beside", F.get(F.split("win", " "), F.col("off") + F.col("side")))
-    prefix = written(prefix, "prefixes")
-    pairs = F.transform("_words", lambda w, i: F.struct(w.alias("w"), F.get(F.col("_words"), i - 1).alias("b"), F.get(F.col("_words"), i + 1).alias("a")))
-    placed = texts.select("_id", "_h", F.size("_words").alias("_n"), F.posexplode(pairs).alias("_pos", "g"))
-    match = (F.col("g.w") == F.col("word")) & F.when(F.col("side") == 1, F.col("g.a") == F.col("beside")).when(F.col("side") == -1, F.col("g.b") == F.col("beside")).otherwise(True)
-    start = F.col("_pos") - F.col("off")
-    found = placed.join(small(prefix), match & (start >= 0) & (start + F.col("len") <= F.col("_n")))
-    found = found.select("_id", "_h", F.struct(start.alias("start"), "win").alias("c")).distinct()
-    # the text's hash parts rows without an id; where it is the same for two texts, each is still compared with its own
-    found = written(found.groupBy("_id", "_h").agg(F.collect_list("c").alias("_found")), "candidates")
-    total = found.agg(F.coalesce(F.sum(F.size("_found")), F.lit(0)).cast("long")).first()[0]
-    if total <= BROADCAST_CANDIDATES:
-        found = F.broadcast(found)
-    own = docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_h"])
-    kept = docs.join(found, own, "left").drop("_id", "_h").withColumn("_words", plain_words(F.col("text")))
-    same = lambda c: F.array_join(F.slice(F.col("_words"), c["start"] + 1, F.size(F.split(c["win"], " "))), " ") == c["win"]
-    kept = kept.withColumn("_found", F.coalesce(F.filter("_found", same), F.array().cast(found.schema["_found"].dataType)))
-    places = F.flatten(F.transform("_found", lambda c: F.sequence(c["start"], c["start"] + F.size(F.split(c["win"], " ")) - 1)))
-    kept = kept.withColumn("n_words", F.size("_words").cast("long")).withColumn("n_hit", F.size(F.array_distinct(places)).cast("long")).withColumn("_wins", F.array_distinct(F.transform("_found", lambda c: c["win"]))).drop("_words", "_found")
-    return _with_items(spark, kept, wins, n_windows)
+    width = F.least(F.size("words"), F.lit(SHINGLE))
+    sizes = sorted(r[0] for r in wins.select(width).distinct().collect()) or [SHINGLE]  # SHINGLE values at most
+    offsets = wins.select("words", F.explode(F.sequence(F.lit(0), F.size("words") - width)).alias("off"))
+    by_width = F.coalesce(*[F.when(width == n, gram_hash(F.col("words"), F.col("off"), n)) for n in sizes])
+    shingles = written(offsets.select("words", "off", by_width.alias("gram")), "window-shingles")
+    vocabulary = written(shingles.select("gram").distinct(), "shingles")
+    blocks = max(1, -(-vocabulary.count() // BROADCAST_SHINGLES))
+
+    texts = keyed(docs.select("doc_id", "text")).select("doc_id", "_id", "_h", plain_words(F.col("text")).alias("_words"))
+    n, low = F.size("_words"), F.greatest(F.col("_at") - (size - 1), F.lit(0))
+    hits = None
+    for block in range(blocks):
+        part = vocabulary.where(F.pmod("gram", F.lit(blocks)) == block) if blocks > 1 else vocabulary
+        grams = placed_grams(texts, sizes)
+        if block:
+            grams = grams.where("_at >= 0")
+        hit = grams.join(F.broadcast(part), F.col("_gram") == F.col("gram"), "left").where("_at = -1 or gram is not null")
+        around = F.when(F.col("_at") >= 0, F.slice("_words", low + 1, F.col("_at") + size - low))
+        hit = hit.select("doc_id", "_id", "_h", n.cast("long").alias("n_words"), F.col("_at").alias("at"), "gram", low.alias("low"), around.alias("around"))
+        hits = hit if hits is None else hits.unionByName(hit)
+    hits = written(hits, "shingle-hits")
+    texts, hits = hits.where("at = -1").select("doc_id", "_id", "_h", "n_words"), hits.where("at >= 0")
+
+    df = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    ranked = shingles.join(df, "gram", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram", "off")).alias("r"))
+    prefixes = written(ranked.where("r.df > 0").select("words", F.col("r.gram").alias("gram"), F.col("r.off").alias("off")), "prefixes")
+    start = F.col("at") - F.col("off")
+    inside = (start >= 0) & (start + F.size("words") <= F.col("n_words"))
+    kept = hits.join(small(prefixes), "gram").where(inside & (F.slice("around", start - F.col("low") + 1, F.size("words")) == F.col("words")))
+    # repeated rows of one text give equal hits
+    kept = written(kept.select("_id", "_h", start.alias("start"), "words").distinct(), "occurrences")
+    places = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.size("words") - 1))))
+    hit_words = kept.groupBy("_id", "_h").agg(F.size(places).cast("long").alias("n_hit"))
+    of = kept.select("_id", "_h", "words").distinct().join(small(wins), "words").select("_id", "_h", F.explode("items").alias("item"))
+    of = of.groupBy("_id", "_h").agg(F.array_sort(F.collect_set("item")).alias("hit_items"))
+    return texts, written(hit_words.join(of, ["_id", "_h"]), "found")
 
 
-def _with_items(spark, kept: DataFrame, wins: DataFrame, n_windows: int) -> DataFrame:
-    """Turns the windows that a text holds into the items that have them."""
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, hit_items (sorted array of item ids as strings) for every row of ``docs``.
+
+    A word is hit if it lies in any occurrence of any window. Null or empty text or item: no words. An item of
+    fewer than ``size`` words is one window; a null item_id counts as "null". Null doc_id, repeated rows: each row is
+    judged by its own text. Empty tables give no rows or no hits. Other columns of ``docs``, whatever their names, are
+    ignored. Texts are read whole.
+    """
+    texts, found = searched(docs, items, size)
+    if found.count() <= BROADCAST_FOUND:
+        found = F.broadcast(found)
     none = F.array().cast("array<string>")
-    if n_windows <= BROADCAST_WINDOWS:
-        # one map of window -> items on one broadcast row
-        lookup = wins.select(F.struct("win", "items").alias("e")).groupBy().agg(F.map_from_entries(F.collect_list("e")).alias("_of"))
-        kept = kept.join(F.broadcast(lookup))
-        ids = F.flatten(F.transform("_wins", lambda w: F.coalesce(F.element_at(F.col("_of"), w), none)))
-        return kept.withColumn("hit_items", F.array_sort(F.array_distinct(ids))).drop("_wins", "_of")
-    kept = written(kept.withColumn("_row", F.monotonically_increasing_id()), "hits")
-    per = kept.select("_row", F.explode("_wins").alias("win")).join(wins.select("win", "items"), "win").select("_row", F.explode("items").alias("item"))
-    per = per.groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("hit_items"))
-    return kept.join(per, "_row", "left").withColumn("hit_items", F.coalesce("hit_items", none)).drop("_row", "_wins")
+    return texts.join(found, ["_id", "_h"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("hit_items", none).alias("hit_items"))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, most: int, size: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds windows of at most ``most`` items; odd rows as in decontaminate."""
+    _, found = searched(docs, items, size)
+    leaked = found.where(F.size("hit_items") > most).select(F.col("_id").alias("_leaked_id"), F.col("_h").alias("_leaked_h"))
+    if leaked.count() <= BROADCAST_FOUND:
+        leaked = F.broadcast(leaked)
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")  # no name of docs can clash
+    key = keyed(docs.select("doc_id", "text", row))
+    kept = key.join(leaked, (F.col("_id") == F.col("_leaked_id")) & (F.col("_h") == F.col("_leaked_h")), "left_anti")
+    return kept.select("_row.*")
 
 
 def op10_decontam(spark, sf_dir: str) -> DataFrame:
