@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows up to which lookup() broadcasts, and the salts of a key beyond that.
+LOOKUP_ROWS = 200_000
+SALTS = 32
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the session's spark.checkpoint.dir.
 
-    The setting is read from the session; only where it is unset (tests on one machine)
-    a temporary folder takes its place.
-    """
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path below the session's spark.checkpoint.dir; an error where that is unset, as no other folder is shared."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ampliflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
     return f"{base.rstrip('/')}/ampliflow/{name}-{uuid.uuid4().hex}"
 
 
@@ -42,5 +41,14 @@ def small_batches(spark: SparkSession, records: int):
         spark.conf.set(name, before)
 
 
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], spread, how: str = "inner", limit: int | None = None) -> DataFrame:
+    """``rows`` joined to ``found`` (one row per key, counted here): by broadcast up to ``limit`` rows (LOOKUP_ROWS), and beyond it
+    on the keys and one of SALTS salts of ``spread``, so that the rows of a hot key go to that many tasks."""
+    if found.count() <= (LOOKUP_ROWS if limit is None else limit):
+        return rows.join(F.broadcast(found), keys, how)
+    salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,15 +16,16 @@ import hashlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, table
+from .shared import lookup, shared_dir, table, written
 
 #: Payloads shorter than this are always stored.
 MIN_REVISIT = 100
 #: Characters of a block in one segment, and of payload in one transfer chunk.
-SEGMENT_CHARS = 64 * 1024
-CHUNK_CHARS = 16 * 1024
+SEGMENT_CHARS = 8 * 1024
+CHUNK_CHARS = 2 * 1024
 #: Records in one archive file; with segments of bounded size this bounds what a reader holds.
 FILE_RECORDS = 500
 DATE = "2024-01-01T00:00:00Z"
@@ -36,40 +37,68 @@ def _crlf(*parts) -> F.Column:
     return F.concat(*[F.concat(p if not isinstance(p, str) else F.lit(p), F.lit("\r\n")) for p in parts])
 
 
-def records(pages: DataFrame, min_revisit: int = MIN_REVISIT, segment: int = SEGMENT_CHARS, chunk: int = CHUNK_CHARS) -> DataFrame:
-    """Column ``value``: WARC records without the closing empty lines, segments included.
+def _stretches(text: F.Column, size: int) -> F.Column:
+    """A text cut into pieces of ``size`` characters in one pass; an empty text is one empty piece."""
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+
+
+def marked(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """``pages`` as page_id, url, body, digest, size, own (record name), refers (name of the record that it revisits, or null).
 
-    Null html: an empty payload. Null url: no target URI. Page ids are unique within a crawl; a repeated one gives
-    a record that cannot be told apart from the first and is refused by the reader. Other columns are ignored.
+    Only ids, digests and sizes are aggregated; bodies meet what was found by lookup() on (id, digest), mostly nothing.
+    A page with no id is never revisited and revisits nothing. Rows equal in id and payload are numbered, in one task for
+    each such row.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
-    full = pages.select("page_id", "url", body.alias("body"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("size"))
-    # sizes and digests first: the smallest page of each payload, by partial aggregation
-    firsts = full.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"))
-    marked = full.join(firsts, "digest", "left").withColumn("refers", F.when(F.col("first") < F.col("page_id"), F.col("first")))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("body"), F.lit(1)), F.lit(chunk))
-    framed = F.array_join(F.transform(starts, lambda i: F.when(F.length("body") > 0, _crlf(F.lower(F.hex(F.octet_length(F.substring("body", i, F.lit(chunk))))), F.substring("body", i, F.lit(chunk)))).otherwise("")), "")
+    key = F.coalesce(F.concat(F.lit("="), F.url_encode(F.col("page_id").cast("string"))), F.lit("-"))
+    full = pages.select("page_id", "url", body.alias("body")).withColumn("digest", F.sha2("body", 256)).withColumn("size", F.octet_length("body").cast("long")).withColumn("_k", key)
+    index = written(full.groupBy("_k", "digest").agg(F.first("page_id").alias("page_id"), F.max("size").alias("size"), F.count(F.lit(1)).alias("copies")), "warc-pages")
+    many = index.where((F.col("size") >= min_revisit) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "_k")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = written(many.drop("n"), "warc-firsts")
+    name = lambda k: F.concat(k, F.lit(":"), F.substring("digest", 1, 16), F.lit(":"))
+    later = lookup(index, many, ["digest"], "_k", "left").withColumn("refers", F.when(F.col("first.page_id") < F.col("page_id"), F.concat(name(F.col("first._k")), F.lit("1"))))
+    found = written(later.where("refers is not null or copies > 1").select("_k", "digest", "refers", "copies"), "warc-marks")
+    repeated = found.where("copies > 1").limit(1).count() > 0
+    rows = lookup(full, found, ["_k", "digest"], "_k", "left")
+    if repeated:
+        again = rows.where("copies > 1").withColumn("_n", F.row_number().over(W.partitionBy("_k", "digest").orderBy("url")))
+        rows = rows.where("coalesce(copies, 1) = 1").withColumn("_n", F.lit(1)).unionByName(again)
+    else:
+        rows = rows.withColumn("_n", F.lit(1))
+    return rows.select("page_id", "url", "body", "digest", "size", F.concat(name(F.col("_k")), F.col("_n").cast("string")).alias("own"), "refers")
+
+
+def records(pages: DataFrame, min_revisit: int = MIN_REVISIT, segment: int = SEGMENT_CHARS, chunk: int = CHUNK_CHARS) -> DataFrame:
+    """Column ``value``: WARC records without the closing empty lines, segments included; one origin record per row of ``pages``.
+
+    Null html: an empty payload. Null url: no target URI; white space in a URL is percent-encoded. Null page_id: a record
+    without a page id, always a response. Repeated page ids are records of their own. Other columns are ignored.
+    """
     http = _crlf("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Transfer-Encoding: chunked", "")
+    framed = F.array_join(F.transform(_stretches(F.col("body"), chunk), lambda c: F.when(c != "", _crlf(F.lower(F.hex(F.octet_length(c))), c)).otherwise("")), "")
     block = F.when(F.col("refers").isNotNull(), _crlf("HTTP/1.1 200 OK", "")).otherwise(F.concat(http, framed, F.lit("0\r\n\r\n")))
-    built = marked.select("page_id", "url", "digest", "size", "refers", block.alias("block"))
-    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("block"), F.lit(1)), F.lit(segment)), lambda i: F.substring("block", i, F.lit(segment)))
-    parts = built.select("page_id", "url", "digest", "size", "refers", F.octet_length("block").alias("total"), F.size(cuts).alias("segments"), F.posexplode(cuts).alias("seg", "part"))
+    built = marked(pages, min_revisit).select("page_id", "url", "digest", "own", "refers", block.alias("block"))
+    cuts = _stretches(F.col("block"), segment)
+    parts = built.select("page_id", "url", "digest", "own", "refers", F.octet_length("block").alias("total"), F.size(cuts).alias("segments"), F.posexplode(cuts).alias("seg", "part"))
     number = F.col("seg") + 1
     many = F.col("segments") > 1
     line = lambda name, value: F.concat(F.lit(name + ": "), value.cast("string"), F.lit("\r\n"))
     opt = lambda cond, *x: F.when(cond, F.concat(*x)).otherwise("")
-    origin = F.concat(F.lit(f"<{_URI}"), F.col("page_id").cast("string"), F.lit(">"))
-    own = F.when(F.col("seg") == 0, origin).otherwise(F.concat(F.lit(f"<{_URI}"), F.col("page_id").cast("string"), F.lit("/"), number.cast("string"), F.lit(">")))
+    named = lambda c: F.concat(F.lit(f"<{_URI}"), c, F.lit(">"))
+    own = F.when(F.col("seg") == 0, named(F.col("own"))).otherwise(named(F.concat("own", F.lit("/"), number.cast("string"))))
     kind = F.when(F.col("seg") > 0, F.lit("continuation")).when(F.col("refers").isNotNull(), F.lit("revisit")).otherwise(F.lit("response"))
-    uri = F.regexp_replace("url", r"\s", "")
+    uri = F.col("url")
+    for code in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D):
+        uri = F.replace(uri, F.lit(chr(code)), F.lit(f"%{code:02X}"))
     header = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", kind), line("WARC-Record-ID", own), line("WARC-Date", F.lit(DATE)),
-        opt(F.col("url").isNotNull() & (F.col("seg") == 0), line("WARC-Target-URI", uri)),
+        opt(F.col("page_id").isNotNull() & (F.col("seg") == 0), line("X-Page-ID", F.url_encode(F.coalesce(F.col("page_id").cast("string"), F.lit(""))))),
+        opt(F.col("url").isNotNull() & (F.col("seg") == 0), line("WARC-Target-URI", F.coalesce(uri, F.lit("")))),
         opt(F.col("seg") == 0, line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))),
         opt(F.col("refers").isNotNull(), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"),
-            line("WARC-Refers-To", F.concat(F.lit(f"<{_URI}"), F.coalesce("refers", F.lit(0)).cast("string"), F.lit(">")))),
+            line("WARC-Refers-To", named(F.coalesce("refers", F.lit(""))))),
         opt(many, line("WARC-Segment-Number", number)),
-        opt(F.col("seg") > 0, line("WARC-Segment-Origin-ID", origin)),
+        opt(F.col("seg") > 0, line("WARC-Segment-Origin-ID", named(F.col("own")))),
         opt(many & (number == F.col("segments")), line("WARC-Segment-Total-Length", F.col("total"))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         line("Content-Length", F.octet_length("part")), F.lit("\r\n"),
@@ -79,10 +108,11 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT, segment: int = SEG
 
 def write_archives(pages: DataFrame, path: str, **options) -> None:
     """Gzipped archive files of at most FILE_RECORDS records below ``path``, a URI that Spark writes."""
-    records(pages, **options).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+    out = records(pages, **options).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS)
+    out.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
-_PARSED = "page_id string, origin string, kind string, seg int, segments_total long, url string, digest string, refers string, block binary"
+_PARSED = "own string, page_id string, origin string, kind string, seg int, segments_total long, url string, digest string, refers string, block binary"
 
 
 def parse(content: bytes):
@@ -118,13 +148,15 @@ def dechunked(body: bytes) -> bytes:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id (string), record_type, url, payload (binary, of responses), payload_bytes, payload_digest, refers_to (string).
+    """record, page_id (string or null), record_type, url, payload (binary, of responses), payload_bytes, payload_digest, refers_to
+    (the record that a revisit names).
 
     Fails on a record whose lengths, segments or digest do not hold. An archive without records gives no rows.
     """
 
     def parsed(frames):
         import gzip
+        from urllib.parse import unquote_plus
 
         for frame in frames:
             for content in frame["content"]:
@@ -133,22 +165,23 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     own = h["WARC-Record-ID"].strip("<>").removeprefix(_URI)
                     origin = h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]).strip("<>").removeprefix(_URI)
                     total = h.get("WARC-Segment-Total-Length")
-                    rows.append((own, origin, h["WARC-Type"], int(h.get("WARC-Segment-Number", 0)), total and int(total), h.get("WARC-Target-URI"), h.get("WARC-Payload-Digest", "").removeprefix("sha256:"), (h.get("WARC-Refers-To") or "").strip("<>").removeprefix(_URI) or None, block))
-                yield pd.DataFrame(rows, columns=["page_id", "origin", "kind", "seg", "segments_total", "url", "digest", "refers", "block"])
+                    page = h.get("X-Page-ID")
+                    rows.append((own, page and unquote_plus(page), origin, h["WARC-Type"], int(h.get("WARC-Segment-Number", 0)), total and int(total), h.get("WARC-Target-URI"), h.get("WARC-Payload-Digest", "").removeprefix("sha256:"), (h.get("WARC-Refers-To") or "").strip("<>").removeprefix(_URI) or None, block))
+                yield pd.DataFrame(rows, columns=["own", "page_id", "origin", "kind", "seg", "segments_total", "url", "digest", "refers", "block"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(path)
     raw = files.select("content").mapInPandas(parsed, _PARSED)
     # whole records pass straight on; only segments are shuffled and joined
-    whole = raw.where("seg = 0").select("page_id", "kind", "url", "digest", "refers", "block")
+    whole = raw.where("seg = 0").select(F.col("own").alias("record"), "page_id", "kind", "url", "digest", "refers", "block")
     pieces = raw.where("seg > 0").groupBy("origin").agg(
         F.array_sort(F.collect_list(F.struct("seg", "block"))).alias("p"), F.max("segments_total").alias("total"),
-        *[F.max(F.when(F.col("seg") == 1, F.col(c))).alias(c) for c in ("kind", "url", "digest", "refers")],
+        *[F.max(F.when(F.col("seg") == 1, F.col(c))).alias(c) for c in ("page_id", "kind", "url", "digest", "refers")],
     )
     blocks = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["block"]))
     joined = pieces.withColumn("block", blocks)
     unbroken = (F.octet_length("block") == F.col("total")) & (F.get("p", F.size("p") - 1)["seg"] == F.size("p"))
     joined = joined.where(F.when(F.coalesce(unbroken, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("segments do not add up: "), F.col("origin"))).cast("boolean")))
-    every = whole.unionByName(joined.select(F.col("origin").alias("page_id"), "kind", "url", "digest", "refers", "block"))
+    every = whole.unionByName(joined.select(F.col("origin").alias("record"), "page_id", "kind", "url", "digest", "refers", "block"))
 
     def decoded(frames):
         for frame in frames:
@@ -162,32 +195,33 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if hashlib.sha256(data).hexdigest() != digest:
                     raise ValueError("payload does not match its digest")
                 payloads.append(data)
-            yield frame[["page_id", "kind", "url", "digest", "refers"]].assign(payload=payloads)
+            yield frame[["record", "page_id", "kind", "url", "digest", "refers"]].assign(payload=payloads)
 
-    return every.mapInPandas(decoded, "page_id string, kind string, url string, digest string, refers string, payload binary").select(
-        "page_id", F.col("kind").alias("record_type"), "url", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("refers").alias("refers_to"))
+    return every.mapInPandas(decoded, "record string, page_id string, kind string, url string, digest string, refers string, payload binary").select(
+        "record", "page_id", F.col("kind").alias("record_type"), "url", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("refers").alias("refers_to"))
 
 
 def resolved(found: DataFrame) -> DataFrame:
-    """Archive rows without payloads, each revisit with the length and digest of the response that it names.
+    """Archive rows without payloads, each revisit with the length and digest of the response that it names; refers_to is that
+    response's page id.
 
-    A revisit whose response is missing or has another digest fails the job.
+    A revisit whose response is missing or has another digest fails the job. Responses that are named come to their
+    revisits by lookup(), so one that most records revisit does not gather them.
     """
-    plain = found.drop("payload", "url")
-    responses = plain.where("record_type = 'response'")
-    targets = responses.select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_n"), F.col("payload_digest").alias("_d"))
-    revisits = plain.where("record_type = 'revisit'").join(targets, "refers_to", "left")
-    checked = F.when(F.col("_d") == F.col("payload_digest"), F.col("_n")).otherwise(F.raise_error(F.concat(F.lit("no such response: "), F.col("refers_to"))).cast("long"))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return responses.select(*columns).unionByName(revisits.withColumn("payload_bytes", checked).select(*columns))
+    responses, revisits = found.where("record_type = 'response'"), found.where("record_type = 'revisit'")
+    named = revisits.select(F.col("refers_to").alias("record")).distinct().join(responses, "record")
+    named = written(named.select(F.col("record").alias("refers_to"), F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_n"), F.col("payload_digest").alias("_d")), "warc-named")
+    revisits = lookup(revisits, named, ["refers_to"], "record", "left")
+    checked = F.when(F.col("_d") == F.col("payload_digest"), F.col("_n")).otherwise(F.raise_error(F.concat(F.lit("no such response: "), F.col("refers_to"))).cast("long"))
+    revisits = revisits.withColumn("payload_bytes", checked).withColumn("refers_to", F.col("_page"))
+    return responses.select(*columns).unionByName(revisits.select(*columns))
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
-    from .shared import written
-
     path = shared_dir(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    found = written(read_archives(spark, path).select("page_id", "record_type", "url", "payload_bytes", "payload_digest", "refers_to", F.lit(None).cast("binary").alias("payload")), "warc-index")
+    found = written(read_archives(spark, path).drop("payload", "url"), "warc-index")
     out = resolved(found)
     return out.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
