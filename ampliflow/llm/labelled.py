@@ -1,25 +1,51 @@
-"""Bounded samples of labelled texts for fitting classifiers."""
+"""Bounded samples of labelled texts, on which one executor task fits a classifier."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Most characters of text that a classifier is fitted on; of the sample's rows, those that come later are left out.
+FIT_TOTAL = 40_000_000
+
 
 def fold(doc_id, parts: int):
     """crc32 of the id as text, modulo the number of parts."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int, chars: int) -> tuple[list[str], list[int]]:
-    """Whole texts and 0/1 labels of at most ``rows`` labelled documents, for which ``keep`` holds.
+def sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int, chars: int) -> DataFrame:
+    """text, _y (0 or 1) of at most ``rows`` labelled documents for which ``keep`` holds, in one partition.
 
     The rows are the first by a hash of the id; documents longer than ``chars`` characters are left out of fitting
-    (not of scoring), which bounds what the driver holds. Rows without text or label are left out.
+    (not of scoring). Rows without text or label are left out. Of repeated rows of one id the largest label and the
+    smallest text count.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & keep).dropDuplicates(["doc_id"])
-    # twice the rows are drawn before the join, so that missing and long documents can be left out
+    known = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & keep).groupBy("doc_id").agg(F.max("_y").alias("_y"))
+    # only ids are shuffled to find labelled documents; twice the rows are drawn, so that long ones can be left out
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
-    joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where(F.length("text") <= chars).dropDuplicates(["doc_id"])
-    found = joined.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("text", "_y").toArrow()
-    return found.column("text").to_pylist(), found.column("_y").to_pylist()
+    joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where(F.length("text") <= chars)
+    joined = joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_y").alias("_y"))
+    return joined.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("text", "_y")
+
+
+def fitted(found: DataFrame, make: Callable, total: int = FIT_TOTAL):
+    """``make(texts, labels)``, called in one executor task over the sample; only the model comes to the driver."""
+
+    def fit(batches):
+        texts, labels, held = [], [], 0
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held + len(text) <= total:
+                    held += len(text)
+                    texts.append(text)
+                    labels.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(texts, labels))], pa.binary())], ["model"])
+
+    models = found.coalesce(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(bytes(models[0].model)) if models else make([], [])  # noqa: S301

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .labelled import fitted as fitted_to
 from .labelled import fold, sample
 from .shared import table
 from .textops import LOWER, SPACED, chunks, mixed, span_hashes, spans
@@ -25,9 +26,10 @@ REACH = 2
 HIDDEN = 16
 #: Most labelled documents that a model is fitted on, and most characters of each.
 FIT_ROWS = 4000
-FIT_CHARS = 20_000
+FIT_CHARS = 200_000
 THRESHOLD = 0.3
-TEXTS_PER_PASS = 512
+#: Bytes of text that fitting works on at a time.
+FIT_CHUNK = 1 << 18
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[128:] = 1, 2, 3, 3
@@ -54,7 +56,7 @@ def rows_of(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     change[1:] = kinds[1:] != kinds[:-1]
     change[starts] = True
     change &= SPACED[flat]
-    before = np.concatenate(([0], np.cumsum(change)))
+    before = np.concatenate(([0], np.cumsum(change, dtype=np.int32)))
     shapes = span_hashes(kinds[change], before[starts], before[ends])
     again = np.zeros(len(words), np.uint64)
     again[1:] = (words[1:] == words[:-1]) & (docs[1:] == docs[:-1])
@@ -66,7 +68,7 @@ def context_vectors(texts: list[str]) -> np.ndarray:
     """Word vectors of all rows from the neighbours in these texts."""
     index = index_vectors()
     total = np.zeros_like(index)
-    for _, _, flat, offsets in chunks(pa.array(texts, pa.string())):
+    for _, _, flat, offsets in chunks(pa.array(texts, pa.string()), FIT_CHUNK):
         words, shapes, docs = rows_of(flat, offsets)
         for step in range(1, REACH + 1):
             near = docs[step:] == docs[:-step]
@@ -150,7 +152,7 @@ class QualityModel:
         self.vectors, self.network = context_vectors(texts), None
         self.share = float((y.sum() + 1) / (len(y) + 2))
         if 0 < y.sum() < len(y):
-            x = np.concatenate([pooled(flat, offsets, self.vectors) for _, _, flat, offsets in chunks(pa.array(texts, pa.string()))])
+            x = np.concatenate([pooled(flat, offsets, self.vectors) for _, _, flat, offsets in chunks(pa.array(texts, pa.string()), FIT_CHUNK)])
             self.network = Network(x, y)
 
     def scores(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -161,7 +163,7 @@ class QualityModel:
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> QualityModel:
     """A model of labels.quality from rows outside the held-out fold (crc32 of the id modulo 5 is not 0)."""
-    return QualityModel(*sample(docs, labels, "quality", fold(F.col("doc_id"), 5) != 0, rows, chars))
+    return fitted_to(sample(docs, labels, "quality", fold(F.col("doc_id"), 5) != 0, rows, chars), QualityModel)
 
 
 def scored(docs: DataFrame, model: QualityModel, column: str = "score") -> DataFrame:
