@@ -1,10 +1,11 @@
 """License scans by diagonal voting (DataFrame functions only).
 
-Every rolling word k-gram of every text is joined by hash to the places of that gram in the templates. A hit
-at text word p and template word t lies on diagonal p - t; hits are counted by (text, template, diagonal),
-diagonals next to each other are merged, so that a word put in or left out does not break a statement, and
-a merged span is kept if it covers enough of its template and is not much longer than it. Grams are also
-compared word by word in the join, so a hash collision has no effect.
+Templates are whole license texts and notices, cut into rolling grams of K words; base phrases, which are shorter, are one
+gram each. Every gram of every text is joined by hash to the places of that gram in the templates, and the words are
+compared in the same join, so a hash collision has no effect. A hit at text word p and template word t lies on diagonal
+p - t; hits are counted by (text, template, diagonal), diagonals next to each other are merged, so that a word put in or
+left out does not break a license, and a merged span is verified: the template's words found in it must cover enough of
+the template, and it must not be much longer than that.
 
 One scan: each text also sends one row without a gram, which carries its word count to the end. Only those
 rows and the hits are shuffled, once, by text.
@@ -12,84 +13,63 @@ rows and the hits are shuffled, once, by text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-K = 2
+from .grams import SEPARATORS, gram_hash, placed_grams, plain_words
+from .license_texts import TEXTS
+
+K = 4
 SLACK = 2
 COVERAGE = 0.8
 STRETCH = 1.25
 
 #: Phrases that count only whole and unbroken.
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
-#: Statements that are found in part too.
-STATEMENTS = (
-    ("mit", "licensed under the mit license"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3"),
-    ("gpl-3.0", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by", "available under the creative commons attribution license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
-    ("public-domain", "released into the public domain"),
-)
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
-def plain_words(text: Column) -> Column:
-    """Words of letters, digits and characters outside ASCII, with A-Z lower-cased; none for null."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    parts = F.split(F.coalesce(low, F.lit("")), SEPARATORS)
-    return F.filter(parts, lambda w: w != "")
-
-
-def template_grams(spark: SparkSession, base: dict[str, str] = BASE, statements=STATEMENTS, k: int = K) -> DataFrame:
-    """One row per place of a k-gram in a template; as many as the templates have words."""
-    known = [(label, phrase, True) for label, phrase in base.items()] + [(label, phrase, False) for label, phrase in statements]
-    rows = [(i, label, exact, len(w), t, *w[t : t + k]) for i, (label, phrase, exact) in enumerate(known) for w in [phrase.split()] for t in range(len(w) - k + 1)]
-    names = [f"_w{j}" for j in range(k)]
-    frame = spark.createDataFrame(rows, "template int, label string, exact boolean, length int, tpos int, " + ", ".join(f"{x} string" for x in names))
-    return frame.withColumn("gram", F.xxhash64(*names))
-
-
-def scan(docs: DataFrame, templates: DataFrame, k: int = K, slack: int = SLACK, coverage: float = COVERAGE) -> DataFrame:
+
+
+def template_words(text: str) -> list[str]:
+    return [w for w in re.split(SEPARATORS, text.lower()) if w]
+
+
+def template_grams(spark: SparkSession, base: dict[str, str] = BASE, texts=TEXTS, k: int = K) -> DataFrame:
+    """One row per place of a gram in a template; as many as the templates have words. Grams have k words, or all of a shorter template's."""
+    known = [(label, phrase, True) for label, phrase in base.items()] + [(label, text, False) for label, text in texts]
+    rows = [(i, label, exact, len(w), n, t, w[t : t + n]) for i, (label, text, exact) in enumerate(known) for w in [template_words(text)] for n in [min(k, len(w))] for t in range(len(w) - n + 1)]
+    frame = spark.createDataFrame(rows, "template int, label string, exact boolean, length int, k int, tpos int, gram_words array<string>")
+    sizes = sorted({r[4] for r in rows})
+    return frame.withColumn("gram", F.coalesce(*[F.when(F.col("k") == n, gram_hash(F.col("gram_words"), F.lit(0), n)) for n in sizes]))
+
+
+def scan(docs: DataFrame, templates: DataFrame, slack: int = SLACK, coverage: float = COVERAGE) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, spans (array of label, exact, start, end, cover).
 
-    Null or empty text: 0 words, no spans. Texts shorter than k words have no spans. Null doc_id and
-    repeated rows: each row has its own result. No rows in: no rows out. Other columns are ignored.
-    ``templates`` has the form of template_grams and must be small enough to broadcast, as a fixed list is.
+    Null or empty text: 0 words, no spans. Null doc_id and repeated rows: each row has its own result. No rows in: no rows
+    out. Other columns are ignored. ``templates`` has the form of template_grams; it must be small enough to broadcast, as
+    a fixed list is. Texts are read whole.
     """
+    sizes = sorted(r[0] for r in templates.select("k").distinct().collect())  # at most K values
     words = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", plain_words(F.col("text")).alias("_words"))
-
-    def gram(_, i):
-        near = [F.get(F.col("_words"), i + j) for j in range(k)]
-        return F.struct(F.xxhash64(*near).alias("gram"), *[w.alias(f"w{j}") for j, w in enumerate(near)])
-
-    none = F.struct(F.lit(None).cast("long").alias("gram"), *[F.lit(None).cast("string").alias(f"w{j}") for j in range(k)])
-    grams = F.concat(F.array(none), F.transform("_words", gram))
-    # position 0 is the row without a gram
-    placed = words.select("_row", "doc_id", F.size("_words").cast("long").alias("n_words"), F.posexplode(grams).alias("_at", "g"))
-    same = (F.col("g.gram") == templates["gram"]) & F.lit(True)
-    for j in range(k):
-        same &= F.col(f"g.w{j}") == templates[f"_w{j}"]
-    hits = placed.join(F.broadcast(templates), same, "left").where((F.col("_at") == 0) | F.col("template").isNotNull())
-    hits = hits.select("_row", "doc_id", "n_words", "template", "label", "exact", "length", "tpos", (F.col("_at") - 1).alias("pos"), (F.col("_at") - 1 - F.col("tpos")).alias("diagonal"))
+    placed = placed_grams(words, sizes)
+    same = F.col("_gram") == F.col("gram")
+    for j in range(max(sizes)):
+        same &= F.coalesce(F.get("_words", F.col("_at") + j) == F.get("gram_words", F.lit(j)), F.col("k") <= j)
+    hits = placed.join(F.broadcast(templates), same, "left").where((F.col("_at") == -1) | F.col("template").isNotNull())
+    hits = hits.select("_row", "doc_id", F.size("_words").cast("long").alias("n_words"), "template", "label", "exact", "length", "k", "tpos", F.col("_at").alias("pos"), (F.col("_at") - F.col("tpos")).alias("diagonal"))
     hits = hits.repartition(F.col("_row"))
-    keys = ["_row", "doc_id", "n_words", "template", "label", "exact", "length"]
+    keys = ["_row", "doc_id", "n_words", "template", "label", "exact", "length", "k"]
     votes = hits.groupBy(*keys, "diagonal").agg(F.collect_set("tpos").alias("seen"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     near = W.partitionBy(*keys).orderBy("diagonal")
     # phrases that count only unbroken keep each diagonal to itself
     new = F.coalesce(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(near) > slack), F.lit(True))
     votes = votes.withColumn("_run", F.sum(new.cast("int")).over(near.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    runs = votes.groupBy(*keys, "_run").agg(F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"), F.min("first").alias("start"), (F.max("last") + k).alias("end"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("seen", lambda t: F.sequence(t, t + (k - 1))))))
+    runs = votes.groupBy(*keys, "_run").agg(F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"), F.min("first").alias("start"), (F.max("last") + F.col("k")).alias("end"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("seen", lambda t: F.sequence(t, t + F.col("k") - 1)))))
     runs = runs.withColumn("cover", covered / F.col("length"))
-    grams_all = F.size("seen") == F.col("length") - (k - 1)
+    grams_all = F.size("seen") == F.col("length") - F.col("k") + 1
     good = F.when(F.col("exact"), grams_all).otherwise((F.col("cover") >= coverage) & (F.col("end") - F.col("start") <= F.ceil(F.col("length") * STRETCH) + slack))
     span = F.when(F.col("template").isNotNull() & good, F.struct("label", "exact", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "cover"))
     return runs.groupBy("_row", "doc_id", "n_words").agg(F.array_sort(F.collect_list(span)).alias("spans")).drop("_row")
