@@ -1,10 +1,11 @@
 """FLAC media columns: texts' bytes as 8-bit mono samples, encoded and decoded by whole batches of frames.
 
-Encoding chooses a fixed predictor and a Rice parameter for each frame and sets all code bits of a batch of
-frames at once. A stream has a seek point for every frame, so that frames can be found and decoded
+Encoding chooses for each frame the fixed or the linear predictor (Levinson's recursion, quantised) that needs fewer
+bits, and a Rice parameter, and sets all code bits of a batch of frames at once. A stream has a seek point for every frame, so that frames can be found and decoded
 independently. Decoding walks all frames of a batch in step: sample i of every frame is read in one round of
 array operations (unary part by the next set bit, remainder from a 32-bit window); predictors are then
-undone along the sample axis. Header CRC-8 and frame CRC-16 are checked for every frame.
+undone along the sample axis. Header CRC-8 and frame CRC-16 are checked for every frame. What comes out is PCM in blocks
+with their first samples. The decoder reads 8-bit mono streams with a seek table for every frame and a fixed block size.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ RATE = 8000
 PAD = 64
 #: Frames that are encoded or decoded together; with BLOCK this bounds the memory of a step.
 FRAMES = 1024
+#: Linear predictors: order, bits of a coefficient, and the shift that undoes its scale.
+ORDER, PRECISION, SHIFT = 4, 12, 9
 
 
 def _crc_table(bits: int, poly: int) -> np.ndarray:
@@ -86,14 +91,45 @@ def _numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-    inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out[inside + np.repeat(at, sizes)] = flat[inside + np.repeat(starts, sizes)]
+    for to, begin, n in zip(at.tolist(), starts.tolist(), sizes.tolist(), strict=True):
+        out[to : to + n] = flat[begin : begin + n]
+
+
+def _predictors(x: np.ndarray, sizes: np.ndarray, starts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised linear predictors of ORDER: (ORDER x frames, whether a frame's coefficients fit their bits)."""
+    f = x.astype(np.float64)
+    r = []
+    for k in range(ORDER + 1):  # sums of integers, exact
+        product = f.copy()
+        product[k:] *= f[: len(f) - k]
+        product[place < k] = 0
+        r.append(np.add.reduceat(product, starts))
+    a, error = [], r[0] + 1.0
+    for i in range(ORDER):
+        rest = r[i + 1].copy()
+        for j in range(i):
+            rest -= a[j] * r[i - j]
+        k = rest / error
+        a = [a[j] - k * a[i - 1 - j] for j in range(i)] + [k]
+        error = np.maximum(error * (1 - k * k), 1e-3)
+    q = np.rint(np.array(a) * (1 << SHIFT))
+    fits = (np.abs(q) < 1 << (PRECISION - 1)).all(axis=0)
+    return np.where(fits, q, 0).astype(np.int64), fits
+
+
+def _rice(rest: np.ndarray, coded: np.ndarray, sizes: np.ndarray, starts: np.ndarray, order: np.ndarray):
+    """(unsigned residuals, Rice parameter of each frame, bits of each code, bits of each frame)."""
+    u = np.where(coded, (rest << 1) ^ (rest >> 31), 0)
+    mean = np.add.reduceat(u, starts) / np.maximum(sizes - order, 1)
+    k = np.clip(np.floor(np.log2(np.maximum(mean * 0.7, 1))).astype(np.int64), 0, 14)
+    each = np.where(coded, (u >> np.repeat(k, sizes)) + 1 + np.repeat(k, sizes), 0)
+    return u, k, each, np.add.reduceat(each, starts)
 
 
-def encode_frames(samples: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, lpc: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def encode_frames(samples: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, lpc: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Frames of consecutive runs of 8-bit samples: (their bytes, byte offsets, one more than frames).
 
-    ``lpc`` writes the same predictors as general linear ones.
+    Without ``lpc`` only fixed predictors are tried.
     """
     x = samples.astype(np.int32)
     starts = np.cumsum(sizes) - sizes
@@ -111,17 +147,25 @@ def encode_frames(samples: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, l
         rows = np.repeat(better, sizes)
         rest[rows] = step[rows]
     coded = place >= np.repeat(order, sizes)
-    u = np.where(coded, (rest << 1) ^ (rest >> 31), 0)
-    n = np.maximum(sizes - order, 1)
-    mean = np.add.reduceat(u, starts) / n
-    k = np.clip(np.floor(np.log2(np.maximum(mean * 0.7, 1))).astype(np.int64), 0, 14)
+    u, k, bits_each, bits = _rice(rest, coded, sizes, starts, order)
+    linear, coefficients = np.zeros(len(sizes), bool), np.zeros((ORDER, len(sizes)), np.int64)
+    if lpc:
+        coefficients, fits = _predictors(x, sizes, starts, place)
+        said = np.zeros(len(x), np.int64)
+        for j in range(ORDER):
+            said[j + 1 :] += (np.repeat(coefficients[j], sizes)[j + 1 :]) * x[: -j - 1]
+        other = (x - (said >> SHIFT)).astype(np.int32)
+        late = place >= ORDER
+        found = _rice(other, late, sizes, starts, np.full(len(sizes), ORDER))
+        linear = fits & (sizes > ORDER) & (found[3] + ORDER * 8 + 9 + ORDER * PRECISION < bits + order * 8)
+        rows = np.repeat(linear, sizes)
+        u, bits_each, coded = np.where(rows, found[0], u), np.where(rows, found[2], bits_each), np.where(rows, late, coded)
+        k, bits, order = np.where(linear, found[1], k), np.where(linear, found[3], bits), np.where(linear, ORDER, order)
     kk = np.repeat(k, sizes)
     q = u >> kk
-    bits_each = np.where(coded, q + 1 + kk, 0)
-    bits = np.add.reduceat(bits_each, starts)
     number, number_size = _numbers(numbers)
     head = 4 + number_size + 2 + 1  # with CRC-8
-    extra = np.where(order > 0, 9 + order * 4, 0) if lpc else 0  # precision, shift, coefficients
+    extra = np.where(linear, 9 + ORDER * PRECISION, 0)  # precision, shift, coefficients
     intro = head * 8 + 8 + order * 8 + extra + 10
     plain = intro + bits >= head * 8 + 8 + sizes * 8
     body = np.where(plain, head + 1 + sizes, (intro + bits + 7) // 8)
@@ -140,16 +184,13 @@ def encode_frames(samples: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, l
     rice = ~plain
     for j in range(4):
         raw[(at * 8 + intro - 4 + j)[rice]] = (k[rice] >> (3 - j)) & 1
-    if lpc:
-        some = rice & (order > 0)
-        first = at * 8 + head * 8 + 8 + order * 8
-        for j, bit in enumerate((0, 0, 1, 1, 0, 0, 0, 0, 0)):  # precision 4, shift 0
-            raw[(first + j)[some]] = bit
-        for o, coefficients in ((1, (1,)), (2, (2, -1))):
-            rows = some & (order == o)
-            for c, value in enumerate(coefficients):
-                for j in range(4):
-                    raw[(first + 9 + 4 * c + j)[rows]] = ((value & 15) >> (3 - j)) & 1
+    some = np.flatnonzero(rice & linear)
+    first = at[some] * 8 + head[some] * 8 + 8 + ORDER * 8
+    fields = [(4, np.full(len(some), PRECISION - 1)), (5, np.full(len(some), SHIFT)), *((PRECISION, c[some]) for c in coefficients)]
+    for width, values in fields:
+        for j in range(width):
+            raw[first + j] = (values >> (width - 1 - j)) & 1
+        first = first + width
     out = np.packbits(raw)
     out[at], out[at + 1], out[at + 2], out[at + 3] = 0xFF, 0xF8, 0x70, 0x02
     for j in range(7):
@@ -163,9 +204,8 @@ def encode_frames(samples: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, l
         crc[rows] = _CRC8[crc[rows] ^ out[at[rows] + j]]
     out[after + 2] = crc
     sub = at + head
-    kind = (0x20 + order - 1) if lpc else (8 + order)
-    out[sub] = np.where(plain, 1, np.where(order > 0, kind, 8)) << 1
-    for j in range(2):
+    out[sub] = np.where(plain, 1, np.where(linear, 0x20 + order - 1, 8 + order)) << 1
+    for j in range(ORDER):
         rows = rice & (order > j)
         out[sub[rows] + 1 + j] = x[starts[rows] + j] & 0xFF
     if plain.any():
@@ -175,11 +215,7 @@ def encode_frames(samples: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, l
     return out, np.append(at, ends[-1])
 
 
-def _seek_entries(size: int) -> int:
-    return max(1, -(-size // BLOCK))
-
-
-def encode(flat: np.ndarray, offsets: np.ndarray, lpc: bool = False) -> list[bytes]:
+def encode(flat: np.ndarray, offsets: np.ndarray, lpc: bool = True) -> list[bytes]:
     """A FLAC stream for each row of bytes; rows are not empty."""
     docs = np.diff(offsets)
     per = -(-docs // BLOCK)
@@ -324,8 +360,8 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, expect
             low = (words[rest >> 3] >> (32 - (rest & 7) - kk)) & ((1 << kk) - 1)
             codes[i, :m][live] = ((stop - at) << kk) | low
             p[:m][live] = rest + kk
-        residual = (codes >> 1) ^ -(codes & 1)
-        residual = residual.T.astype(np.int64)
+        by_sample = (codes >> 1) ^ -(codes & 1)
+        residual = by_sample.T.astype(np.int64)
         for o in np.unique(order):
             rows = np.flatnonzero((order == o) & ~general)
             if len(rows):
@@ -339,11 +375,15 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, expect
                 out[rice[rows]] = r
             rows = np.flatnonzero((order == o) & general)
             if len(rows):
-                r = residual[rows]
-                r[:, :o] = warm[rows, :o]
-                for i in range(int(o), r.shape[1]):
-                    r[:, i] += (r[:, i - o : i][:, ::-1] * coefficients[rows, :o]).sum(axis=1) >> shift[rows]
-                out[rice[rows]] = r
+                r = by_sample[:, rows].astype(np.int64)
+                r[:o] = warm[rows, :o].T
+                c, s = coefficients[rows, :o].T.copy(), shift[rows]
+                for i in range(int(o), len(r)):
+                    said = c[0] * r[i - 1]
+                    for j in range(1, int(o)):
+                        said += c[j] * r[i - 1 - j]
+                    r[i] += said >> s
+                out[rice[rows]] = r.T
     return out[valid].astype(np.int8)
 
 
@@ -405,42 +445,60 @@ def to_media(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(encoded, f"doc_id {kind}, n_bytes long, media binary")
 
 
+def blocks(streams: list[bytes]):
+    """(stream, first sample, bytes) of every PCM block behind the streams, in order."""
+    for i, x in enumerate(decode(streams)):
+        for at in range(0, len(x), BLOCK):
+            yield i, at, x[at : at + BLOCK]
+
+
 def features(media: DataFrame) -> DataFrame:
-    """The digests and signal features of decoded media; nothing is taken from the text."""
+    """The digests and signal features of the media's PCM blocks; nothing is taken from the text.
+
+    n_blocks and last_offset: the blocks, and the first sample of the last one.
+    """
     kind = media.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks", "last_offset"]
 
     def described(batches):
         for batch in batches:
             ids, sizes, streams = batch.column(0), batch.column(1), batch.column(2)
             for a, b, flat, offsets in chunks(streams):
                 parts = [flat[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-                found = decode(parts)
                 rows = []
-                for s, x in zip(parts, found, strict=True):
-                    v = x.astype(np.int64) - 128
-                    crossings = int(np.count_nonzero((v[1:] < 0) != (v[:-1] < 0)))
-                    rows.append((len(x), hashlib.sha256(x.tobytes()).hexdigest(), zlib.crc32(x[-PAD:].tobytes()), len(s), hashlib.sha256(s).hexdigest(), f"frames={_seek_entries(len(x))};peak={int(np.abs(v).max())};energy={int((v * v).sum())};crossings={crossings}"))
+                for i, pcm in groupby(blocks(parts), itemgetter(0)):
+                    digest, s = hashlib.sha256(), parts[i]
+                    size = peak = energy = crossings = n = at = 0
+                    tail, last = b"", None
+                    for _, at, block in pcm:
+                        digest.update(block)
+                        tail = (tail + block[-PAD:].tobytes())[-PAD:]
+                        v = block.astype(np.int32) - 128
+                        low = v < 0
+                        crossings += int(np.count_nonzero(low[1:] != low[:-1])) + (last is not None and bool(low[0]) != last)
+                        size, n, last = size + len(block), n + 1, bool(low[-1])
+                        peak, energy = max(peak, int(np.abs(v).max())), energy + int((v * v).sum())
+                    rows.append((size, digest.hexdigest(), zlib.crc32(tail), len(s), hashlib.sha256(s).hexdigest(), f"frames={n};peak={peak};energy={energy};crossings={crossings}", n, at))
                 columns = [pa.array(c) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), sizes.slice(a, b - a), *columns], names)
 
-    return media.mapInArrow(described, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(described, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long, last_offset long")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """doc_id, sample_offset, pcm: one row per frame, seekable by its first sample."""
+    """doc_id, sample_offset, pcm: one row per block, seekable by its first sample."""
     kind = media.schema["doc_id"].dataType.simpleString()
 
-    def blocks(batches):
+    def cut(batches):
         for batch in batches:
-            for a, b, flat, offsets in chunks(batch.column(2)):
+            for a, _, flat, offsets in chunks(batch.column(2)):
                 streams = [flat[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-                for i, x in enumerate(decode(streams)):
-                    at = np.arange(0, len(x), BLOCK)
+                for i, pcm in groupby(blocks(streams), itemgetter(0)):
+                    _, at, data = zip(*pcm, strict=True)
                     ids = pa.repeat(batch.column(0)[a + i], len(at))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(at), pa.array([x[p : p + BLOCK].tobytes() for p in at], pa.binary())], ["doc_id", "sample_offset", "pcm"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int64()), pa.array([x.tobytes() for x in data], pa.binary())], ["doc_id", "sample_offset", "pcm"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(blocks, f"doc_id {kind}, sample_offset long, pcm binary")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(cut, f"doc_id {kind}, sample_offset long, pcm binary")
 
 
 def op8_flac(spark, sf_dir: str) -> DataFrame:

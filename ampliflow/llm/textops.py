@@ -48,7 +48,6 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        n = max(n, CHUNK_BYTES)
         for k, base in enumerate((_P, _P_INV)):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
@@ -80,17 +79,29 @@ def spans(flat: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
 
 
 def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes; spans are disjoint and in order."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(flat) + 1)
-    weighted = (flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)]
-    # a sum over start..end, the separators after it not counted
-    bounds = np.empty(2 * len(starts), np.int64)
-    bounds[0::2], bounds[1::2] = starts, ends
-    if bounds[-1] == len(flat):
-        bounds = bounds[:-1]
-    return mixed(np.add.reduceat(weighted, bounds)[0::2] * down[starts])
+    """A 64-bit hash of each span's bytes; spans are disjoint and in order. Worked off in stretches of CHUNK_BYTES, whatever
+    the length of the text or of one span."""
+    out = np.empty(len(starts), np.uint64)
+    up, down = _powers(CHUNK_BYTES + 1)
+    a = 0
+    while a < len(starts):
+        base = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, "right")))
+        if ends[a] - base > CHUNK_BYTES:
+            total = 0
+            for at in range(base, int(ends[a]), CHUNK_BYTES):
+                part = flat[at : min(at + CHUNK_BYTES, int(ends[a]))].astype(np.uint64) + np.uint64(1)
+                total += int((part * up[: len(part)]).sum()) * pow(_P, at - base, 1 << 64)
+            out[a] = total & _MASK
+        else:
+            part = flat[base : ends[b - 1]]
+            weighted = (part.astype(np.uint64) + np.uint64(1)) * up[: len(part)]
+            # a sum over start..end, the separators after it not counted
+            bounds = np.empty(2 * (b - a), np.int64)
+            bounds[0::2], bounds[1::2] = starts[a:b] - base, ends[a:b] - base
+            out[a:b] = np.add.reduceat(weighted, bounds[:-1])[0::2] * down[bounds[0::2]]
+        a = b
+    return mixed(out)
 
 
 def spaced_words(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
