@@ -51,12 +51,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("hit_items") < LEAKED_ITEMS).select(*docs.columns)
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"), LEAKED_ITEMS - 1).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """Training rows in order of position: the text, how often it is taken, and the training times of all its copies."""
+    return mixing.mix(docs, texts=True)
 
 
 STAGES = [
