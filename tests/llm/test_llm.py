@@ -11,7 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ampliflow.llm import chat, components, decontam, flac, licenses, mixing, ngram_join, quality, tokens, toxicity, warc
+from ampliflow.llm import chat, components, decontam, flac, license_texts, licenses, mixing, ngram_join, quality, shared, textops, tokens, toxicity, warc
+from ampliflow.llm.labelled import sample
 from ampliflow.llm.shared import shared_dir, written
 from ampliflow.llm.textops import chunks, shingle_sets
 
@@ -32,7 +33,7 @@ def odd_docs(spark):
 
 def clashing(df):
     """Extra columns whose names operators might use themselves."""
-    for name in ("score", "size", "n", "sid", "h", "win", "items", "rank", "target", "words", "media", "found"):
+    for name in ("score", "size", "n", "sid", "h", "win", "items", "rank", "target", "words", "media", "found", "_id", "_h", "_words", "_at", "_row", "_key", "_bucket"):
         df = df.withColumn(name, F.lit("x"))
     return df
 
@@ -41,27 +42,68 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+ITEMS = [(1, "same text here"), (None, None), (2, ""), (3, "word " * 8)]
+QUALITY, TOXIC = quality.QualityModel(["a b", "C!! D!!"], [1, 0]), toxicity.ToxicityModel(["a b", "bad c"], [0, 1])
+
+
+def one_score(model, text):
+    (_, _, flat, offsets), = chunks(pa.array([text], pa.string()))
+    found = model.scores(flat, offsets)
+    return round(float((found[0] if isinstance(found, tuple) else found)[0]), 9)
+
+
+def plain(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+
+
+def leaks(text):
+    w = plain(text)
+    if w[:1] == ["same"]:
+        return len(w), 3, ["1"]
+    return (len(w), len(w), ["3"]) if len(w) >= 8 else (len(w), 0, [])
+
+
+def padded(text):
+    data = (text or "").encode()
+    return data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+
+
+#: Per operator: its run, what of a row is compared, and what a row's text must give.
 OPERATORS = {
-    "op3": lambda spark, d: ngram_join.near_components(d),
-    "op5": lambda spark, d: licenses.scan(d, licenses.template_grams(spark)),
-    "op7": lambda spark, d: mixing.mix(d),
-    "op8": lambda spark, d: flac.features(flac.to_media(d)),
-    "op9": lambda spark, d: tokens.token_counts(d),
-    "op10": lambda spark, d: decontam.decontaminate(d, spark.createDataFrame([(1, "same text here"), (None, None), (2, "")], "item_id long, text string")),
-    "op1": lambda spark, d: quality.scored(d, quality.QualityModel(["a b", "C!! D!!"], [1, 0])),
-    "op2": lambda spark, d: toxicity.scored(d, toxicity.ToxicityModel(["a b", "bad c"], [0, 1])),
+    "op3": (lambda spark, d: ngram_join.near_components(d), lambda r: r.n_shingles, lambda t: 0 if not (t or "").split() else len({tuple(t.split()[i : i + 4]) for i in range(max(1, len(t.split()) - 3))})),
+    "op5": (lambda spark, d: licenses.scan(d, licenses.template_grams(spark)), lambda r: (r.n_words, r.spans), lambda t: (len(plain(t)), [])),
+    "op7": (lambda spark, d: mixing.mix(d), lambda r: r.size, lambda t: len((t or "").split())),
+    "op8": (lambda spark, d: flac.features(flac.to_media(d)), lambda r: (r.n_bytes, r.payload_sha256), lambda t: (len((t or "").encode()), hashlib.sha256(padded(t)).hexdigest())),
+    "op9": (lambda spark, d: tokens.token_counts(d), lambda r: r.n_bytes, lambda t: len((t or "").encode())),
+    "op10": (lambda spark, d: decontam.decontaminate(d, spark.createDataFrame(ITEMS, "item_id long, text string")), lambda r: (r.n_words, r.n_hit, r.hit_items), leaks),
+    "op1": (lambda spark, d: quality.scored(d, QUALITY), lambda r: round(r.score, 9), lambda t: one_score(QUALITY, t)),
+    "op2": (lambda spark, d: toxicity.scored(d, TOXIC), lambda r: round(r.score, 9), lambda t: one_score(TOXIC, t)),
 }
 
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_odd_inputs(spark, name):
-    run = OPERATORS[name]
+    run, seen, wanted = OPERATORS[name]
     docs = odd_docs(spark)
-    found = run(spark, clashing(docs))
-    assert found.count() == docs.count()
+    found = run(spark, clashing(docs)).collect()
+    order = lambda x: (x[0] is None, x[0], repr(x[1]))
+    assert sorted(((r.doc_id, seen(r)) for r in found), key=order) == sorted(((r.doc_id, wanted(r.text)) for r in docs.collect()), key=order)
     assert run(spark, empty(spark)).count() == 0
 
 
+def test_a_long_text_needs_bounded_tables():
+    """Stretches give the hashes of one piece, whatever lies where, and one word longer than a stretch too."""
+    rng = np.random.default_rng(3)
+    flat = rng.integers(97, 123, 3_000_000, dtype=np.uint8)
+    flat[rng.integers(0, 900_000, 150_000)] = 32
+    starts, ends, _ = textops.spans(flat, np.array([0, len(flat)]), textops.SPACED)
+    found = textops.span_hashes(flat, starts, ends)
+    for i in (0, 1, len(starts) // 2, len(starts) - 2, len(starts) - 1):
+        assert textops.span_hashes(flat[starts[i] : ends[i]], np.array([0]), np.array([ends[i] - starts[i]])) == found[i]
+    value = sum((int(b) + 1) * pow(textops._P, j, 1 << 64) for j, b in enumerate(flat[starts[5] : ends[5]])) % (1 << 64)
+    assert textops.mixed(np.array([value], np.uint64))[0] == found[5] and len(textops._POWERS[0]) <= textops.CHUNK_BYTES + 1
+
+
 # ---- 1, 2 -----------------------------------------------------------------------------------------------------
 
 
@@ -101,6 +143,23 @@ def test_toxicity_held_out_and_located():
         assert re.search(rb"idiotix|scumble|moronous", data[begin[i] : end[i]], re.I)
 
 
+def test_models_are_fitted_by_a_task(spark):
+    texts, good, _ = labelled(200, 4)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, None), (None, "x"), (5, "z" * 900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(good)] + [(4, 1 - good[4]), (7, None), (None, 1), (999, 1)], "doc_id long, quality int")
+    rows = labelled_sample(docs, labels, 150, 800)
+    assert len(rows) == 150 and all(len(t) <= 800 and y in (0, 1) for t, y in rows) and rows == labelled_sample(docs.repartition(3), labels, 150, 800)
+    model = quality.fitted(docs, labels)
+    assert model.network is not None
+    nothing = quality.fitted(docs.limit(0), labels)
+    assert nothing.network is None and nothing.share == 0.5
+
+
+def labelled_sample(docs, labels, rows, chars):
+    found = sample(docs, labels, "quality", F.lit(True), rows, chars).collect()
+    return [tuple(r) for r in found]
+
+
 # ---- 3 --------------------------------------------------------------------------------------------------------
 
 
@@ -144,6 +203,45 @@ def test_near_components(spark, monkeypatch, chunk):
     assert found == brute_components(rows)
 
 
+def test_near_copies_over_many_chunks(spark, monkeypatch):
+    """One large group of near copies and outsiders at its edge, which only some of them link with."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2]) if i < 70 else rng.choice([2, 3])):
+            w[rng.randrange(60)] = f"y{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(ngram_join.block_links, "__defaults__", (600, 8))
+    monkeypatch.setattr(shared, "LOOKUP_ROWS", 0)  # the salted way
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_components(docs).collect()}
+    assert found == brute_components(rows) and len({c for _, c in found.values()}) > 3
+
+
+def test_divide_skip_with_known_sets():
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(60):
+        s = set(range(40)) - set(rng.integers(0, 40, rng.integers(0, 6)).tolist())
+        sets.append(np.array(sorted(s | set((100 + rng.integers(0, 5, 2)).tolist())), np.int64))
+    alike = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+    quiet = np.array([alike(sets[0], x) for x in sets])
+    known = np.where(quiet, 0, np.arange(60))
+    links = ngram_join.divide_skip(sets, np.zeros(60, int), 85, known, quiet)
+
+    def parts(pairs):
+        label = list(range(60))
+        for a, b in pairs:
+            x, y = label[a], label[b]
+            label = [min(x, y) if v in (x, y) else v for v in label]
+        return label
+
+    inside = [(0, int(i)) for i in np.flatnonzero(quiet)]
+    assert parts([*links, *inside]) == parts([(a, b) for a in range(60) for b in range(a) if alike(sets[a], sets[b])])
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (3, 2)]
     found = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -151,6 +249,19 @@ def test_components_of_a_path_and_a_star(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_EDGES", 3)
+    rng = random.Random(6)
+    edges = [(rng.randrange(12), rng.randrange(100)) for _ in range(70)] + [(500, i) for i in range(501, 520)]
+    found = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert found == label
+
+
 # ---- 4 --------------------------------------------------------------------------------------------------------
 
 NASTY = ["<|im_end|>", "<\\|x", "<\\\\|", "<|", "<<|<|", "a<", "|", "\\", "<|im_start|>user\nhi<|im_end|>\n", "é<|漢", ""]
@@ -179,26 +290,65 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.format_chats(none)).count() == 0
 
 
+def test_chat_of_repeated_rows_and_a_long_text(spark):
+    rows = [(1, 0, "user", "x"), (1, 0, "user", "x"), (1, 1, "assistant", "é<|" * 300_000), (2, 0, "assistant", None), (None, None, None, None), (1, 0, "assistant", "tie")]
+    found = {r.conv_id: r for r in chat.digests(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))).collect()}
+    assert (found[1].n_turns, found[1].loss_chars) == (4, 900_003) and (found[2].n_turns, found[2].loss_chars) == (1, 0)
+    assert found[1].loss_sha256 == hashlib.sha256(b"tie" + "é<|".encode() * 300_000).hexdigest() and found[None].n_turns == 1
+
+
 # ---- 5 --------------------------------------------------------------------------------------------------------
 
 
+def brute_spans(text, k=4, slack=2, coverage=0.8, stretch=1.25):
+    """(label, exact, start, end) by plain loops over templates and diagonals."""
+    w, out = plain(text), []
+    known = [(label, phrase, True) for label, phrase in licenses.BASE.items()] + [(label, t, False) for label, t in license_texts.TEXTS]
+    for label, phrase, exact in known:
+        q = plain(phrase)
+        n = min(k, len(q))
+        votes = defaultdict(list)
+        for p in range(len(w) - n + 1):
+            for t in range(len(q) - n + 1):
+                if w[p : p + n] == q[t : t + n]:
+                    votes[p - t].append((p, t))
+        runs, last = [], None
+        for d in sorted(votes):
+            if exact or last is None or d - last > slack:
+                runs.append([])
+            runs[-1] += votes[d]
+            last = d
+        for run in runs:
+            seen = {t for _, t in run}
+            start, end = min(p for p, _ in run), max(p for p, _ in run) + n
+            cover = len({t + j for t in seen for j in range(n)}) / len(q)
+            if (len(seen) == len(q) - n + 1) if exact else (cover >= coverage and end - start <= -(-len(q) * stretch // 1) + slack):
+                out.append((label, exact, start, end))
+    return sorted(out)
+
+
 def test_licenses(spark):
     rng = random.Random(3)
-    phrases = [p for p in licenses.BASE.values()]
+    phrases = [*licenses.BASE.values(), "CC-BY", "cc", "by", "general public"]
     rows = []
     for i in range(60):
         w = prose(rng, 30).split(" ")
         for _ in range(rng.randint(0, 3)):
-            w.insert(rng.randrange(len(w)), rng.choice([*phrases, "CC-BY", "cc", "by", "general public"]))
+            w.insert(rng.randrange(len(w)), rng.choice(phrases))
+        text = rng.choice(license_texts.TEXTS)[1].split()
+        for _ in range(rng.randint(0, 4)):  # words put in, left out and changed
+            at = rng.randrange(len(text))
+            text[at : at + rng.choice([0, 1])] = rng.choice([[], ["other"], ["one", "more"]])
+        if i % 2:
+            w[10:10] = text
         rows.append((i, " ".join(w)))
-    rows.append((100, "x Licensed under the famous MIT License. y"))
+    rows.append((100, "x " + license_texts.TEXTS[0][1].replace("copy of this", "copy of just this") + " y"))
     found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.template_grams(spark)).collect()}
     for i, t in rows:
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
-        places = sorted((label, j) for label, p in licenses.BASE.items() for q in [p.split()] for j in range(len(w)) if w[j : j + len(q)] == q)
-        assert found[i].n_words == len(w)
-        assert sorted((s.label, s.start) for s in found[i].spans if s.exact) == places
+        assert found[i].n_words == len(plain(t))
+        assert sorted((s.label, s.exact, s.start, s.end) for s in found[i].spans) == brute_spans(t)
     assert {s.label for s in found[100].spans} == {"mit"}  # one word put in does not break it
+    assert len({s.label for r in found.values() for s in r.spans}) > 6
 
 
 # ---- 6 --------------------------------------------------------------------------------------------------------
@@ -213,8 +363,9 @@ def test_warc_round_trip(spark):
     found = warc.read_archives(spark, path)
     payloads = {int(r.page_id): bytes(r.payload).decode() for r in found.where("record_type = 'response'").collect()}
     assert payloads == {i: h or "" for i, _, h in rows if i not in (4, 8)}
-    kinds = {int(r.page_id): (r.payload_bytes, r.refers_to) for r in warc.resolved(found).collect()}
+    kinds = {int(r.page_id): (r.payload_bytes, r.refers_to) for r in warc.resolved(found.drop("payload")).collect()}
     assert kinds[4] == (len(long_.encode()), "1") and kinds[8] == (100, "7") and kinds[6] == (5, None)
+    assert next(r.url for r in found.where("page_id = 1").collect()) == "http://a/%20b"
     good = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [b for _, b in warc.parse(good)] == [b"abc"]
     with pytest.raises(ValueError):
@@ -226,6 +377,19 @@ def test_warc_round_trip(spark):
     assert warc.resolved(warc.read_archives(spark, nothing)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_warc_of_repeated_and_absent_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(shared, "LOOKUP_ROWS", limit)
+    body, other = "b" * 120, "c" * 300
+    rows = [(1, "u", body), (1, "u", body), (1, "v", other), (2, "u", body), (3, "u", other), (None, "u", body), (None, None, other), (None, None, None)]
+    path = shared_dir(spark, "warc-odd")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path, segment=64, chunk=50)
+    found = warc.read_archives(spark, path)
+    assert found.count() == len({r.record for r in found.collect()}) == len(rows)
+    got = sorted((r.page_id or "", r.payload_bytes, r.record_type, r.refers_to or "") for r in warc.resolved(found.drop("payload")).collect())
+    assert got == sorted([("1", 120, "response", ""), ("1", 120, "response", ""), ("1", 300, "response", ""), ("2", 120, "revisit", "1"), ("3", 300, "revisit", "1"), ("", 120, "response", ""), ("", 300, "response", ""), ("", 0, "response", "")])
+
+
 # ---- 7 --------------------------------------------------------------------------------------------------------
 
 
@@ -246,6 +410,36 @@ def test_mixing(spark):
     assert [tuple(r) for r in mixing.mix(spark.createDataFrame(rows, DOCS).repartition(3)).collect()] == [tuple(r) for r in found]
 
 
+def test_mixing_salted_and_with_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, prose(rng, rng.randint(0, 30)), "en", rng.choice(["a", "b", "c", None]), 1) for i in range(120)], DOCS)
+    plain_rows = [tuple(r) for r in mixing.mix(docs).collect()]
+    monkeypatch.setattr(shared, "LOOKUP_ROWS", 0)
+    found = mixing.mix(docs, texts=True)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert [tuple(r)[:-1] for r in found.collect()] == plain_rows and all(r.text == texts[r.doc_id] for r in found.collect())
+
+
+def test_mixing_levels_by_plain_loops(spark):
+    """Targets against shares handed out until no source is above its cap."""
+    rng = random.Random(13)
+    rows = [(i, prose(rng, rng.randint(0, 9)), "en", rng.choice([None, *"abcdefgh"] + ["a"] * 20), 1) for i in range(400)]
+    size = defaultdict(int)
+    for _, t, _, s, _ in rows:
+        size[s] += len(t.split())
+    names = sorted(size, key=lambda s: (s is None, s))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    full, total = set(), 1.5 * sum(size.values())
+    while True:
+        level = (total - sum(2 * size[s] for s in full)) / sum(weight[s] for s in names if s not in full)
+        more = {s for s in names if s not in full and level * weight[s] >= 2 * size[s]}
+        if not more:
+            break
+        full |= more
+    found = {r.source: r.target for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == pytest.approx({s: 2 * size[s] if s in full else level * weight[s] for s in names}) and full
+
+
 def test_mixing_places_every_copy(spark):
     """Up to two rounds of one source: the middles of all stretches, end to end in one supply order, at their share of the demand."""
     rng = random.Random(10)
@@ -283,6 +477,61 @@ def test_flac_round_trip(lpc):
             flac.decode([bytes(bad)])
 
 
+def bits(*fields):
+    text = "".join(f"{value & ((1 << width) - 1):0{width}b}" for width, value in fields if width)
+    text += "0" * (-len(text) % 8)
+    return int(text, 2).to_bytes(len(text) // 8)
+
+
+def slow_crc(data, width, poly):
+    r = 0
+    for byte in data:
+        r ^= byte << (width - 8)
+        for _ in range(8):
+            r = (r << 1) ^ poly if r >> (width - 1) else r << 1
+            r &= (1 << width) - 1
+    return r
+
+
+def test_flac_of_another_writer():
+    """Frames put together bit by bit: constant, verbatim, fixed of orders 1 and 3 in two partitions, linear of order 2, parameters of 5 bits."""
+    rng = random.Random(2)
+    walk = [0]
+    while len(walk) < 64:
+        walk.append(max(-100, min(100, walk[-1] + rng.randint(-9, 9))))
+    rice = lambda v, k: [((v << 1 if v >= 0 else -2 * v - 1) >> k, 0), (1, 1), (k, (v << 1 if v >= 0 else -2 * v - 1))]
+
+    def coded(residual, order, parts, method=0):
+        out, size = [(2, method), (4, parts)], 64 >> parts
+        for p in range(1 << parts):
+            k = 2 + p
+            out += [(4 + method, k), *(x for v in residual[max(order, p * size) - order : (p + 1) * size - order] for x in rice(v, k))]
+        return out
+
+    first = [b - a for a, b in zip(walk, walk[1:])]
+    third = [walk[i] - 3 * walk[i - 1] + 3 * walk[i - 2] - walk[i - 3] for i in range(3, 64)]
+    linear = [walk[i] - ((13 * walk[i - 1] - 5 * walk[i - 2]) >> 3) for i in range(2, 64)]
+    warm = lambda n: [(8, v) for v in walk[:n]]
+    frames = [
+        ([(8, 0), (8, -7)], [-7] * 64),
+        ([(8, 2), *((8, v) for v in walk)], walk),
+        ([(8, 9 << 1), *warm(1), *coded(first, 1, 1)], walk),
+        ([(8, 11 << 1), *warm(3), *coded(third, 3, 1, 1)], walk),
+        ([(8, 33 << 1), *warm(2), (4, 5), (5, 3), (6, 13), (6, -5), *coded(linear, 2, 0)], walk),
+    ]
+    body, points, wanted = b"", b"", []
+    for i, (fields, samples) in enumerate(frames):
+        head = bytes([0xFF, 0xF8, 0x70, 0x02, i]) + (63).to_bytes(2)
+        data = head + bytes([slow_crc(head, 8, 0x07)]) + bits(*fields)
+        points += (64 * i).to_bytes(8) + len(body).to_bytes(8) + (64).to_bytes(2)
+        body += data + slow_crc(data, 16, 0x8005).to_bytes(2)
+        wanted += samples
+    raw = bytes(v & 0xFF for v in wanted)
+    info = (64).to_bytes(2) * 2 + bytes(6) + ((8000 << 44) | (7 << 36) | len(wanted)).to_bytes(8) + hashlib.md5(raw).digest()
+    stream = b"fLaC" + b"\x00" + len(info).to_bytes(3) + info + b"\x83" + len(points).to_bytes(3) + points + body
+    assert (flac.decode([stream])[0] ^ 0x80).tobytes() == raw
+
+
 def test_flac_crc_values():
     data = np.frombuffer(b"123456789", np.uint8)
     assert flac.crc16(data, np.array([0]), np.array([9]))[0] == 0xFEE8  # CRC-16 with polynomial 8005, nothing reflected
@@ -341,16 +590,22 @@ def test_decontamination(spark):
 
 @pytest.mark.parametrize("limit", [None, 0])
 def test_decontamination_of_rows_without_id(spark, monkeypatch, limit):
-    if limit is not None:  # shuffled joins instead of broadcasts
-        for name in ("BROADCAST_CANDIDATES", "BROADCAST_WINDOWS"):
-            monkeypatch.setattr(decontam, name, limit)
+    if limit is not None:  # shuffled joins instead of broadcasts, shingles in blocks
+        for name, value in (("BROADCAST_FOUND", 0), ("BROADCAST_WINDOWS", 0), ("BROADCAST_SHINGLES", 2)):
+            monkeypatch.setattr(decontam, name, value)
     leak, other = "one two three four five six seven eight", "nine ten eleven twelve"
-    texts = [(None, f"x {leak} y"), (None, f"{other} z"), (None, "clean"), (None, None), (None, f"x {leak} y"), (7, leak), (7, other), (8, "clean")]
+    texts = [(None, f"x {leak} y"), (None, f"{other} z"), (None, "clean"), (None, None), (None, f"x {leak} y"), (7, leak), (7, other), (8, "clean"), (9, f"{leak} {other} {leak}")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     items = spark.createDataFrame([(1, leak), (2, other)], "item_id long, text string")
-    found = sorted(((r.doc_id or 0), r.text or "", r.n_hit, r.hit_items) for r in decontam.decontaminate(docs, items).collect())
-    wanted = {leak: (8, ["1"]), other: (4, ["2"])}
-    assert found == sorted((i or 0, t or "", *next((x for w, x in wanted.items() if w in (t or "")), (0, []))) for i, t in texts)
+    order = lambda r: tuple(map(repr, r))
+    found = sorted(((r.doc_id, r.n_words, r.n_hit, r.hit_items) for r in decontam.decontaminate(docs, items).collect()), key=order)
+    held = lambda t: [str(k) for k, w in ((1, leak), (2, other)) if w in (t or "")]
+    hit = lambda t: 8 * (t or "").count(leak) + 4 * (t or "").count(other)
+    assert found == sorted(((i, len((t or "").split()), hit(t), held(t)) for i, t in texts), key=order)
+    for most in (0, 1):
+        kept = decontam.without_leaks(clashing(docs), items, most)
+        assert kept.columns == clashing(docs).columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=order) == sorted(((i, t) for i, t in texts if len(held(t)) <= most), key=order)
 
 
 # ---- shared ---------------------------------------------------------------------------------------------------
