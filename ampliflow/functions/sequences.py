@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from keyword import kwlist
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ IUPAC = {
 }
 #: First words of names that are no species.
 REJECTED_FIRST = ("unclassified", "uncultured", "unidentified")
-#: Markers cannot be called like report parts.
-RESERVED_MARKERS = ("pooled", "all", "total")
+#: Fixed value: markers cannot be called like the report over all of them.
+RESERVED_MARKER = "pooled"
 
 
 def md5_key(seq: Column) -> Column:
@@ -86,7 +88,7 @@ def read_prefix(name: Column) -> Column:
 def sample_name(path: Column) -> Column:
     """A file's sample: its base name without .gz, method and type suffixes."""
     base = F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.gz$", "")
-    tables = F.regexp_replace(base, r"\.[^.]+\.tsv$", "")
+    tables = F.regexp_replace(base, r"(\.[^.]*)?\.tsv$", "")
     return F.when(base.rlike(r"\.tsv$"), tables).otherwise(F.regexp_replace(base, r"\.[^.]+$", ""))
 
 
@@ -110,13 +112,13 @@ def is_species(name: Column) -> Column:
 
 
 def is_rejected_name(name: Column) -> Column:
-    first = F.lower(F.split(name, " ")[0])
-    return F.coalesce(name == "", F.lit(True)) | first.isin(*REJECTED_FIRST) | F.lower(name).startswith("environmental samples") | name.contains(";")
+    first = F.lower(F.split(F.trim(name), r"\s+")[0])
+    return F.coalesce(name == "", F.lit(True)) | first.isin(*REJECTED_FIRST) | (name == "environmental samples") | name.contains(";")
 
 
 def is_marker_name(name: Column) -> Column:
-    """Letters, digits, dot, dash and underscore, and no reserved word."""
-    return name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$") & ~F.lower(name).isin(*RESERVED_MARKERS)
+    """Letters, digits and dashes; no number, no word of the Python language, and not the pooled report's name."""
+    return name.rlike(r"^-*[\p{L}\p{N}][\p{L}\p{N}-]*$") & ~name.rlike(r"^\p{N}+$") & ~name.isin(*kwlist, RESERVED_MARKER)
 
 
 def species_display(name: Column) -> Column:

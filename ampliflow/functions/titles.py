@@ -54,21 +54,19 @@ def obitools(title: Column) -> Column:
 
 
 def ncbi_words(title: Column) -> Column:
-    """'Accession Genus species description': two words by rule, more after 'cf.' and the like, and both parents of a hybrid."""
+    """'Accession Genus species description': two words by rule, more after each 'cf.' and the like, and both parents of a hybrid."""
     words = F.filter(F.split(F.trim(title), r"\s+"), lambda w: w != "")
     w = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
-    more = F.lit("").eqNullSafe("")
-    link = lambda x: x.isin("taxon", "aff.", "cf.", "x")
-    # the name takes a further word while it ends in one that needs another
-    third = link(w(2)) & (w(3) != "")
-    fourth = third & link(w(3)) & (w(4) != "")
-    taken = F.when(fourth, 5).when(third, 4).otherwise(3)
+    # after two words, one more for each of them in a row that announces another
+    unlinked = F.transform(F.slice(words, 3, 1 << 20), lambda x: (~x.isin("taxon", "aff.", "cf.", "x")).cast("int"))
+    links = F.when(F.array_position(unlinked, 1) > 0, F.array_position(unlinked, 1) - 1).otherwise(F.size(unlinked))
+    taken = F.least(3 + links, F.greatest(F.size(words), F.lit(3))).cast("int")
     base = F.array_join(F.slice(words, F.lit(2), taken - 1), " ")
     after = lambda k: F.coalesce(F.get(words, taken + k), F.lit(""))
-    hybrid = (after(0) == "x") & (after(1) != "") & more
+    hybrid = (after(0) == "x") & (after(1) != "")
     again = hybrid & (after(1) == w(1)) & (after(2) != "")
     name = F.when(again, F.concat_ws(" ", base, F.lit("x"), after(2))).when(hybrid, F.concat_ws(" ", base, F.lit("x"), after(1))).otherwise(base)
-    initial = (F.length(w(1)) > 2) & w(1).rlike(r"^[A-Z]\.")
+    initial = (F.length(w(1)) > 2) & w(1).rlike(r"^\p{Lu}\.")
     return _pair(F.lit(0), F.when(initial | (w(1) == "Sequence"), "").otherwise(name))
 
 

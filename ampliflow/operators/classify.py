@@ -42,9 +42,12 @@ def substring(queries: DataFrame, refs: DataFrame, seed: int = 16) -> DataFrame:
     return _listed(queries, hits.distinct(), refs)
 
 
-def by_distance(queries: DataFrame, refs: DataFrame, max_genus: int = 1) -> DataFrame:
+def by_distance(queries: DataFrame, refs: DataFrame, max_genus: int = 1, taxonomy: DataFrame | None = None) -> DataFrame:
     """Tiers: equal sequences on species level; else everything within one edit; else genera of the nearest within
-    max_genus edits. Genus-only equals give way to, or are joined with, matches at one edit."""
+    max_genus edits, each with its own taxid. Genus-only equals give way to, or are joined with, matches at one edit.
+
+    ``taxonomy`` (genus, species, taxid) is where genera's taxids are looked up: all of the database's, by default refs.
+    """
     subjects = refs.select(F.col("md5").alias("r"), F.col("seq").alias("r_seq")).distinct()
     near = near_pairs(queries.select(F.col("md5").alias("l"), F.col("seq").alias("l_seq")), subjects, max_genus).select(F.col("l").alias("md5"), F.col("r").alias("ref"), "dist")
     level = refs.groupBy(F.col("md5").alias("ref")).agg(F.bool_or(F.col("species") != "").alias("named"))
@@ -60,10 +63,12 @@ def by_distance(queries: DataFrame, refs: DataFrame, max_genus: int = 1) -> Data
     whole = near.where(((F.col("tier") == "exact") & (F.col("dist") == 0)) | ((F.col("tier") == "one") & (F.col("dist") <= 1)))
     taxa = whole.select("md5", "ref").join(refs.select(F.col("md5").alias("ref"), "genus", "species", "taxid").distinct(), "ref")
     far = near.where((F.col("tier") == "genus") & (F.col("dist") == F.col("next"))).select("md5", "ref")
-    genus_ids = refs.where(F.col("species") == "").groupBy("genus").agg(F.max("taxid").alias("taxid"))
+    genus_ids = (refs if taxonomy is None else taxonomy).where((F.col("species") == "") & (F.col("taxid") != 0)).groupBy("genus").agg(F.max("taxid").alias("taxid"))
     far = far.join(refs.select(F.col("md5").alias("ref"), "genus").distinct(), "ref").select("md5", "genus").distinct().join(genus_ids, "genus", "left")
-    far = far.select("md5", "genus", F.lit("").alias("species"), F.coalesce("taxid", F.lit(0)).alias("taxid"))
-    found = species_lists(taxa.select("md5", "genus", "species", "taxid").unionByName(far), ["md5"])
+    # one taxid per genus, equal ones too; a query is in this tier or in the others
+    far = far.groupBy("md5").agg(F.array_sort(F.collect_list(F.struct("genus", F.coalesce("taxid", F.lit(0)).cast("string").alias("id")))).alias("g"))
+    far = far.select("md5", F.array_join("g.id", ";").alias("taxids"), F.array_join("g.genus", ";").alias("names"))
+    found = species_lists(taxa.select("md5", "genus", "species", "taxid"), ["md5"]).unionByName(far)
     return queries.select("md5").join(found, "md5", "left").na.fill({"taxids": "0", "names": ""})
 
 
@@ -85,17 +90,18 @@ def top_score(queries: DataFrame, refs: DataFrame, hits: DataFrame) -> DataFrame
 METHODS = {
     "identity": identity,
     "substr": substring,
-    "onebp": by_distance,
-    **{f"1s{k}g": (lambda q, r, k=k: by_distance(q, r, k)) for k in range(2, 10)},
+    "onebp": lambda q, r, t=None: by_distance(q, r, 1, t),
+    **{f"1s{k}g": (lambda q, r, t=None, k=k: by_distance(q, r, k, t)) for k in range(2, 10)},
     "topscore": lambda q, r: top_score(q, r, scored_hits(q, r)),
 }
 
 
 def classify(tally: DataFrame, refs: DataFrame, method: str = "onebp") -> DataFrame:
-    """tally with taxids and names, each distinct sequence classified once per marker."""
+    """tally with taxids and names, each distinct sequence classified once per marker; genera's taxids are looked up over all markers."""
     markers = [r[0] for r in tally.select("marker").distinct().orderBy("marker").collect()]  # a handful of primer pairs
     found = None
     for m in markers:
-        own = METHODS[method](tally.where(F.col("marker") == m).select("md5", "seq").distinct(), refs.where(F.col("marker") == m)).withColumn("marker", F.lit(m))
+        given = [tally.where(F.col("marker") == m).select("md5", "seq").distinct(), refs.where(F.col("marker") == m)]
+        own = METHODS[method](*given, *([refs] if method == "onebp" or method[:2] == "1s" else [])).withColumn("marker", F.lit(m))
         found = own if found is None else found.unionByName(own)
     return tally.join(found, ["marker", "md5"], "left") if found is not None else tally.withColumn("taxids", F.lit("0")).withColumn("names", F.lit(""))

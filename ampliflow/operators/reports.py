@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sequences import species_order
+from ..functions.sequences import species_display, species_order
 
 
 def abundance_by_species(classified: DataFrame) -> DataFrame:
@@ -23,8 +23,9 @@ def classification_summary(classified: DataFrame) -> DataFrame:
     """Each sample's species in report order; '(*)' follows those seen only in combinations, '-' means none."""
     parts = classified.select("sample", F.explode(F.split("names", ";")).alias("sp"), (~F.col("names").contains(";")).alias("sure"))
     per = parts.groupBy("sample", "sp").agg(F.bool_or("sure").alias("sure"))
-    text = F.when(F.col("sp") == "", "Unknown").when(~F.col("sp").contains(" "), F.concat("sp", F.lit(" (unknown species)"))).otherwise(F.col("sp"))
-    named = per.select("sample", species_order(F.col("sp")).alias("o"), F.concat(text, F.when(F.col("sure"), "").otherwise("(*)")).alias("t"))
+    # the bare name in front of '(*)', a display text only for what is sure
+    text = F.when(F.col("sure"), species_display(F.col("sp"))).otherwise(F.concat("sp", F.lit("(*)")))
+    named = per.select("sample", species_order(F.col("sp")).alias("o"), text.alias("t"))
     return named.groupBy("sample").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]), ", ").alias("summary"))
 
 
@@ -75,7 +76,15 @@ def merged_stats(stats: DataFrame) -> DataFrame:
     """Statistics of samples over several markers: sums, maxima, and the threshold where all markers agree on it."""
     agree = F.when(F.countDistinct("threshold") == 1, F.first("threshold").cast("string")).otherwise("By marker")
     same_raw = F.when(F.countDistinct("raw") > 1, F.raise_error(F.concat(F.lit("raw reads differ for "), F.first("sample"))).cast("long")).otherwise(F.first("raw"))
-    return stats.groupBy("sample").agg(same_raw.alias("raw"), F.sum("primer_matched").cast("long").alias("primer_matched"), F.sum("singletons").cast("long").alias("singletons"), F.max("max_non_spike").alias("max_non_spike"), F.max("max_spike_in").alias("max_spike_in"), agree.alias("threshold"))
+    # what is the same for a sample's files comes along where it is known
+    shared = [F.first(c, ignorenulls=True).alias(c) for c in ("merged", "control", "pool") if c in stats.columns]
+    return stats.groupBy("sample").agg(same_raw.alias("raw"), *shared, F.sum("primer_matched").cast("long").alias("primer_matched"), F.sum("singletons").cast("long").alias("singletons"), F.max("max_non_spike").alias("max_non_spike"), F.max("max_spike_in").alias("max_spike_in"), agree.alias("threshold"))
+
+
+def merged_limits(limits: DataFrame) -> DataFrame:
+    """Thresholds per marker and sample (sample_thresholds) as one row per sample: maxima, and the threshold all markers agree on."""
+    agree = F.when(F.countDistinct("threshold") == 1, F.first("threshold").cast("string")).otherwise("By marker")
+    return limits.groupBy("sample", "pool", "control").agg(agree.alias("threshold"), F.max("max_non_spike").alias("max_non_spike"), F.max("max_spike_in").alias("max_spike_in"))
 
 
 def complete_columns(stats: DataFrame, names: list[str]) -> list[str]:

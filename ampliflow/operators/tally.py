@@ -50,8 +50,9 @@ def without_ultra_low(tally: DataFrame, min_abundance: int) -> DataFrame:
 
 
 def by_sample_threshold(tally: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Cells that reach their own sample's threshold (sample, threshold)."""
-    return tally.join(thresholds.select("sample", "threshold"), "sample").where(F.col("abundance") >= F.col("threshold")).drop("threshold")
+    """Cells that reach their own sample's threshold (sample, threshold), by marker where the thresholds have one."""
+    keys = ["marker", "sample"] if "marker" in thresholds.columns else ["sample"]
+    return tally.join(thresholds.select(*keys, "threshold"), keys).where(F.col("abundance") >= F.col("threshold")).drop("threshold")
 
 
 def by_total(tally: DataFrame, minimum: int) -> DataFrame:

@@ -32,20 +32,23 @@ def control_label(negative, synthetic):
 
 
 def max_abundances(tally: DataFrame, spike_md5: DataFrame) -> DataFrame:
-    """Largest spike-in and other count per sample."""
+    """Largest spike-in and other count per marker (where the tally has one) and sample."""
     marked = tally.join(spike_md5.select("md5", F.lit(True).alias("_spike")), "md5", "left")
     of = lambda cond: F.coalesce(F.max(F.when(cond, F.col("abundance"))), F.lit(0)).cast("long")
-    return marked.groupBy("sample").agg(of(F.col("_spike").isNotNull()).alias("max_spike_in"), of(F.col("_spike").isNull()).alias("max_non_spike"))
+    by = ["marker"] if "marker" in tally.columns else []
+    return marked.groupBy(*by, "sample").agg(of(F.col("_spike").isNotNull()).alias("max_spike_in"), of(F.col("_spike").isNull()).alias("max_non_spike"))
 
 
 def sample_thresholds(samples: DataFrame, maxima: DataFrame, min_abundance: int, min_fraction: float, check: bool = True) -> DataFrame:
-    """sample, pool, control, threshold, max_non_spike, max_spike_in, the latter two 0 where below the threshold.
+    """sample, pool, control, threshold, max_non_spike, max_spike_in, the latter two 0 where below the threshold, and marker where
+    ``maxima`` has one: pools are then kept apart by marker, and a sample without reads has a null marker.
 
     A control's own threshold is halved in the respect it is a control for. A negative control above it raises its
     pool's absolute threshold to its largest non-spike count; a synthetic one raises the pool's fraction. Other samples
     get the pool's. A fraction above one half fails the query.
     """
-    s = samples.join(maxima, "sample", "left").na.fill(0, ["max_spike_in", "max_non_spike"])
+    by = ["marker"] if "marker" in maxima.columns else []
+    s = samples.join(maxima, [*by, "sample"] if "marker" in samples.columns and by else "sample", "left").na.fill(0, ["max_spike_in", "max_non_spike"])
     control = F.col("is_negative") | F.col("is_synthetic")
     own = F.greatest(
         F.col("threshold"),
@@ -58,15 +61,15 @@ def sample_thresholds(samples: DataFrame, maxima: DataFrame, min_abundance: int,
     fraction = F.when(F.col("is_synthetic") & above & (F.lit(min_fraction) * F.col("primer_matched") < a), a / F.col("primer_matched"))
     if check:
         fraction = F.when(fraction > FATAL_FRACTION, F.raise_error(F.concat(F.lit("control suggests too high a fraction: "), F.col("sample"))).cast("double")).otherwise(fraction)
-    pools = s.groupBy("pool").agg(
+    pools = s.groupBy(*by, "pool").agg(
         F.max(F.when(F.col("is_negative") & above & (a > min_abundance), a)).alias("_absolute"),
         F.max(fraction).alias("_fraction"),
     )
-    s = s.join(pools, "pool", "left")
+    s = s.join(pools, [*by, "pool"], "left")
     pooled = F.greatest(F.col("threshold"), F.greatest(F.coalesce("_absolute", F.lit(min_abundance)), F.lit(min_abundance)), F.ceil(F.col("primer_matched") * F.greatest(F.coalesce("_fraction", F.lit(min_fraction)), F.lit(min_fraction)))).cast("long")
     s = s.withColumn("threshold", F.when(control, F.col("_own")).otherwise(pooled))
     capped = lambda c: F.when(F.col(c) < F.col("threshold"), 0).otherwise(F.col(c)).cast("long").alias(c)
-    return s.select("sample", "pool", control_label(F.col("is_negative"), F.col("is_synthetic")).alias("control"), "threshold", capped("max_non_spike"), capped("max_spike_in"))
+    return s.select(*by, "sample", "pool", control_label(F.col("is_negative"), F.col("is_synthetic")).alias("control"), "threshold", capped("max_non_spike"), capped("max_spike_in"))
 
 
 def fractional_threshold(totals: DataFrame, min_abundance: int, min_fraction: float) -> DataFrame:

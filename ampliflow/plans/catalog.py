@@ -159,12 +159,12 @@ def spikein_kmer(spark, sf):
 @query(ctes("reads", "spikes") + _TALLY + _SPIKED + _MAXIMA + " SELECT * FROM maxima")
 def max_spike(spark, sf):
     cells = _tally(spark, sf)
-    return thresholds.max_abundances(cells, _spike_md5(spark, sf, cells))
+    return thresholds.max_abundances(cells, _spike_md5(spark, sf, cells)).drop("marker")
 
 
 @query(_CONTROLLED + " SELECT * FROM limits")
 def threshold_pools(spark, sf):
-    return _limits(spark, sf)
+    return _limits(spark, sf).drop("marker")
 
 
 @query(_CONTROLLED + " SELECT marker, md5, sample, abundance FROM tally JOIN limits USING (sample) WHERE abundance >= 15 AND abundance >= threshold")
@@ -254,9 +254,10 @@ def _tiers_sql(k: int, select: str = " SELECT q.md5, coalesce(taxids, '0') AS ta
 lev AS (SELECT md5, bool_or(species <> '') AS named FROM r1 GROUP BY md5),
 n2 AS (SELECT l, r, dist, bool_or(dist = 0) OVER w AS exact, bool_or(dist = 0 AND named) OVER w AS exact_named, min(CASE WHEN dist > 0 THEN dist END) OVER w AS nxt FROM near JOIN lev ON lev.md5 = r WINDOW w AS (PARTITION BY l)),
 n3 AS (SELECT *, CASE WHEN exact_named THEN 'exact' WHEN nxt = 1 THEN 'one' WHEN exact THEN 'exact' ELSE 'genus' END AS tier FROM n2),
-gid AS (SELECT genus, max(taxid) AS taxid FROM r1 WHERE species = '' GROUP BY genus),
-taxa AS (SELECT n3.l AS md5, genus, species, taxid FROM n3 JOIN r1 ON r1.md5 = n3.r WHERE (tier = 'exact' AND dist = 0) OR (tier = 'one' AND dist <= 1)
-  UNION SELECT n3.l, r1.genus, '', coalesce(gid.taxid, 0) FROM n3 JOIN r1 ON r1.md5 = n3.r LEFT JOIN gid ON gid.genus = r1.genus WHERE tier = 'genus' AND dist = nxt)""" + _lists("taxa") + select
+gid AS (SELECT genus, max(taxid) AS taxid FROM refs WHERE species = '' AND taxid <> 0 GROUP BY genus),
+taxa AS (SELECT n3.l AS md5, genus, species, taxid FROM n3 JOIN r1 ON r1.md5 = n3.r WHERE (tier = 'exact' AND dist = 0) OR (tier = 'one' AND dist <= 1)),
+far AS (SELECT DISTINCT n3.l AS md5, r1.genus, coalesce(gid.taxid, 0) AS taxid FROM n3 JOIN r1 ON r1.md5 = n3.r LEFT JOIN gid ON gid.genus = r1.genus WHERE tier = 'genus' AND dist = nxt)""" + _lists("taxa").replace("lists AS", "sure_lists AS") + """,
+lists AS (SELECT md5, taxids, names FROM sure_lists UNION ALL SELECT md5, string_agg(taxid::VARCHAR, ';' ORDER BY genus), string_agg(genus, ';' ORDER BY genus) FROM far GROUP BY md5)""" + select
 
 
 def _its1(spark, sf):
@@ -276,12 +277,12 @@ def classify_substr(spark, sf):
 
 @query(_tiers_sql(1))
 def classify_onebp(spark, sf):
-    return classify.by_distance(frame(spark, sf, "queries"), _its1(spark, sf), 1)
+    return classify.by_distance(frame(spark, sf, "queries"), _its1(spark, sf), 1, frame(spark, sf, "refs"))
 
 
 @query(_tiers_sql(3))
 def classify_1s3g(spark, sf):
-    return classify.by_distance(frame(spark, sf, "queries"), _its1(spark, sf), 3)
+    return classify.by_distance(frame(spark, sf, "queries"), _its1(spark, sf), 3, frame(spark, sf, "refs"))
 
 
 @query(_classified_sql("""SELECT md5, ref FROM (SELECT l AS md5, r AS ref, rank() OVER (PARTITION BY l ORDER BY 2.0 * length(q.seq) - 5.0 * dist DESC) AS k FROM near JOIN queries q ON q.md5 = l WHERE 100.0::DOUBLE * (length(q.seq) - dist) / length(q.seq) >= 95.0) WHERE k = 1""", ", rs AS (SELECT DISTINCT md5, seq FROM r1)" + _near("queries", "rs", 4)))
@@ -294,7 +295,7 @@ classified AS (SELECT 'ITS1' AS marker, sample, md5, abundance, coalesce(names,
 
 
 def _classified(spark, sf):
-    return classify.classify(_tally(spark, sf), frame(spark, sf, "refs").where("marker = 'ITS1'"), "onebp")
+    return classify.classify(_tally(spark, sf), frame(spark, sf, "refs"), "onebp")
 
 
 @query(_tiers_sql(1, _BY_SPECIES + " SELECT sample, names, sum(abundance)::BIGINT AS abundance FROM classified GROUP BY sample, names"))
@@ -307,7 +308,7 @@ def classify_onebp_report(spark, sf):
 
 @query(_tiers_sql(1, _BY_SPECIES + """, p AS (SELECT sample, unnest(string_split(names, ';')) AS sp, NOT contains(names, ';') AS sure FROM classified),
 o AS (SELECT sample, CASE WHEN contains(sp, ' ') THEN sp WHEN sp <> '' THEN sp || ' {unknown species}' ELSE '{Unknown}' END AS o,
-  CASE WHEN sp = '' THEN 'Unknown' WHEN NOT contains(sp, ' ') THEN sp || ' (unknown species)' ELSE sp END || CASE WHEN bool_or(sure) THEN '' ELSE '(*)' END AS t FROM p GROUP BY sample, sp)
+  CASE WHEN NOT bool_or(sure) THEN sp || '(*)' WHEN sp = '' THEN 'Unknown' WHEN NOT contains(sp, ' ') THEN sp || ' (unknown species)' ELSE sp END AS t FROM p GROUP BY sample, sp)
 SELECT sample, string_agg(t, ', ' ORDER BY o, t) AS summary FROM o GROUP BY sample"""))
 def classification_summary(spark, sf):
     return reports.classification_summary(_classified(spark, sf))
@@ -485,12 +486,15 @@ def regex_samples(spark, sf):
     return extras.samples_matching(_tally(spark, sf), "S[1-3]|S5$", invert=True).select("sample", "md5", "abundance")
 
 
-@query(ctes("queries", "refs") + """, c AS (SELECT md5, substr(seq, 1, 80) AS seq, substr(seq, 11, 70) AS core FROM queries WHERE md5 NOT IN (SELECT md5 FROM refs)), h AS (SELECT DISTINCT md5, seq FROM refs),
-t AS (SELECT DISTINCT c.md5, substr(h.seq, strpos(h.seq, core) + length(core)) AS tail FROM c JOIN h ON contains(h.seq, core))
-SELECT md5, arg_max(tail, lpad(length(tail)::VARCHAR, 6, '0') || tail) AS tail, count(*)::BIGINT AS n_tails FROM t GROUP BY md5""")
+@query(ctes("queries", "refs") + """, c AS (SELECT DISTINCT 'GATTACAGAT' || substr(seq, 11, CASE WHEN substr(md5, 1, 1) < '4' THEN 12 ELSE 70 END) AS seq FROM queries),
+h AS (SELECT DISTINCT c.seq, r.seq AS ref, r.accession FROM c JOIN refs r ON contains(r.seq, substr(c.seq, 11)) WHERE c.seq NOT IN (SELECT seq FROM refs)),
+k AS (SELECT *, list_filter(range(0, 11), lambda i: contains(ref, substr(seq, i + 1)))[1] AS cut FROM h)
+SELECT lower(substr(seq, 1, cut)) || substr(seq, cut + 1) AS seq, string_agg(DISTINCT accession, ';' ORDER BY accession) AS titles FROM k GROUP BY 1""")
 def missed_refs(spark, sf):
-    q = frame(spark, sf, "queries").select("md5", F.substring("seq", 1, 80).alias("seq"))
-    return extras.missed_references(q, frame(spark, sf, "refs").select("md5", "seq").distinct(), 10)
+    """Amplicons of all lengths behind a leader that no reference has; a quarter of them are shorter than the seed."""
+    size = F.when(F.substring("md5", 1, 1) < "4", 12).otherwise(70)
+    q = frame(spark, sf, "queries").select(F.concat(F.lit("GATTACAGAT"), F.substring("seq", F.lit(11), size)).alias("seq"))
+    return extras.missed_references(q, frame(spark, sf, "refs").select("seq", F.col("accession").alias("title")), "GATTACAGAT")
 
 
 @query("""WITH c AS (SELECT l_suppkey AS sample, p_type || ';' || p_brand AS names, p_type, p_brand, sum(l_quantity) AS a FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
@@ -527,7 +531,7 @@ _title_query("simple", ("P%d %s  %s [taxid=%d] more", "p_partkey", "p_type", "p_
 _title_query("taxid", ("P%d:%s:taxid=%d", "p_partkey", "p_type", "p_size"), "SELECT p_partkey, p_size AS taxid, '' AS name FROM part")
 _title_query("sintax", ("P%d;tax=d:X,g:%s,s:%s_%s;", "p_partkey", "p_type", "p_type", "p_brand"), "SELECT p_partkey, 0 AS taxid, p_type || ' ' || p_brand AS name FROM part")
 _title_query("obitools", ("P%d species_name=%s; taxid=%d; other", "p_partkey", "p_name", "p_size"), "SELECT p_partkey, p_size AS taxid, p_name AS name FROM part")
-_title_query("ncbi", ("P%d.1 %s cf. x more words", "p_partkey", "p_type"), "SELECT p_partkey, 0 AS taxid, p_type || ' cf. x more' AS name FROM part")
+_title_query("ncbi", ("P%d.1 %s cf. aff. x more words", "p_partkey", "p_type"), "SELECT p_partkey, 0 AS taxid, p_type || ' cf. aff. x more' AS name FROM part")
 
 
 # ---- documents as sequences -----------------------------------------------------------------------------------
@@ -538,15 +542,12 @@ def dedupe_documents(spark, sf):
     return frame(spark, sf, "documents").groupBy(F.md5("text").alias("md5")).agg(F.count(F.lit(1)).alias("abundance"), F.min("doc_id").alias("first_doc"))
 
 
-@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+@query("SELECT item_id, doc_id FROM (SELECT item_id, text AS passage FROM benchmark UNION ALL SELECT 1000000 + item_id, substr(text, 5, 15) FROM benchmark) b JOIN documents d ON contains(d.text, b.passage) WHERE passage <> ''")
 def benchmark_substring(spark, sf):
-    """Documents that hold a benchmark passage as it is: joined by the passage's first words at line or sentence starts."""
+    """Documents that hold a benchmark passage, or fifteen letters of one, as they are."""
     d, b = frame(spark, sf, "documents"), frame(spark, sf, "benchmark")
-    n = 24
-    starts = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    grams = d.select("doc_id", F.explode(F.array_distinct(starts(F.col("text")))).alias("gram"))
-    hits = grams.join(F.broadcast(b.select("item_id", F.substring("text", 1, n).alias("gram"))) if b.count() <= 100_000 else b.select("item_id", F.substring("text", 1, n).alias("gram")), "gram").select("doc_id", "item_id").distinct()
-    return hits.join(d.select("doc_id", "text"), "doc_id").join(b.select("item_id", F.col("text").alias("passage")), "item_id").where(F.expr("contains(text, passage)")).select("item_id", "doc_id")
+    passages = b.select("item_id", F.col("text").alias("passage")).unionByName(b.select((F.col("item_id") + 1000000).alias("item_id"), F.substring("text", 5, 15).alias("passage")))
+    return extras.texts_holding(d, passages).select("item_id", "doc_id")
 
 
 @query("SELECT l.quality AS quality, l.toxic AS toxic, d.lang AS lang, count(*)::BIGINT AS n FROM labels l JOIN documents d USING (doc_id) GROUP BY 1, 2, 3")

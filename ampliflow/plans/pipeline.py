@@ -44,7 +44,7 @@ def run(reads: DataFrame, samples: DataFrame, refs: DataFrame, spikes: DataFrame
     # all reports read these two, so they are computed once
     cells = cells.persist()
     classified = classify.classify(cells, refs, s.method).persist()
-    out = {"tally": cells, "thresholds": limits, "classified": classified, "samples": reports.sample_report(classified, limits), "reads": reports.read_report(classified)}
+    out = {"tally": cells, "thresholds": limits, "classified": classified, "samples": reports.sample_report(classified, reports.merged_limits(limits)), "reads": reports.read_report(classified)}
     if known is not None:
         pairs = assess.paired(assess.species_sets(known), assess.species_sets(classified))
         confusion = assess.confusion_tally(pairs)

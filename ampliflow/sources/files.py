@@ -73,8 +73,9 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """path, title, seq; lines before the first title are left out, sequence lines are joined."""
-    raw = spark.read.option("lineSep", ">").text(path).select(F.input_file_name().alias("path"), "value")
-    body = F.regexp_replace("value", "\r", "")
+    # records end where a line begins with '>', so titles may hold that letter; the first record of a file keeps its own
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("path"), "value")
+    body = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", "")
     rows = raw.select("path", F.regexp_extract(body, r"^([^\n]*)", 1).alias("title"), F.regexp_replace(F.regexp_replace(body, r"^[^\n]*", ""), r"\s", "").alias("seq"))
     return rows.where((F.col("seq") != "") & ~F.col("title").startswith("#"))
 
@@ -118,7 +119,10 @@ def read_tally(spark: SparkSession, path: str, min_abundance: int = 0) -> tuple[
     classifications, to their text.
     """
     lines = spark.read.text(path)
-    header = lines.where(F.col("value").rlike(r"^#(Marker/)?MD5_abundance\t")).first()[0].split("\t")
+    found = lines.where(F.col("value").rlike(r"^#(Marker/)?MD5_abundance\t")).first()
+    if found is None:
+        raise ValueError(f"no line of column names (#Marker/MD5_abundance) in {path}")
+    header = found[0].split("\t")
     at = header.index("Sequence")
     samples, further = header[1:at], header[at + 1 :]
     f = F.split("value", "\t")
