@@ -33,6 +33,10 @@ def scalar_cases():
         (S.is_rejected_name(F.lit("Phytophthora ramorum")), False),
         (S.is_marker_name(F.lit("ITS1-long")), True),
         (S.is_marker_name(F.lit("a b")), False),
+        *((S.is_marker_name(F.lit(x)), ok) for x, ok in (("a_b", False), ("a.b", False), ("123", False), ("class", False), ("pooled", False), ("--", False), ("total", True), ("all", True), ("18S", True))),
+        (S.is_rejected_name(F.lit("environmental samples")), True),
+        (S.is_rejected_name(F.lit("environmental samples of soil")), False),
+        (S.sample_name(F.lit("x/S1.tsv")), "S1"),
         (S.species_order(F.lit("Pythium")), "Pythium {unknown species}"),
         (S.unique_or_joined(F.array(F.lit("a"), F.lit("a"))), "a"),
         (S.unique_or_joined(F.array(F.lit("a"), F.lit("b"))), "a;b"),
@@ -75,6 +79,9 @@ def test_one_base_neighbours(spark):
         ("ncbi", "Y08654.1 P.cambivora ribosomal internal ...", (0, "")),
         ("ncbi", "MG707849.1 Phytophthora humicola x Phytophthora inundata isolate", (0, "Phytophthora humicola x inundata")),
         ("ncbi", "MG707849.1 Phytophthora humicola x inundata isolate", (0, "Phytophthora humicola x inundata")),
+        ("ncbi", "X1 Aus x cf. aff. bus strain 3", (0, "Aus x cf. aff. bus")),
+        ("ncbi", "X1 Aus cf.", (0, "Aus cf.")),
+        ("ncbi", "X1 Aus", (0, "Aus")),
     ],
 )
 def test_titles(spark, convention, title, expected):

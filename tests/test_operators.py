@@ -106,6 +106,39 @@ def test_controls_raise_their_pool(spark):
         thresholds.sample_thresholds(samples, bad, 10, 0.001).collect()
 
 
+def test_controls_of_one_marker_leave_the_others(spark):
+    samples = spark.createDataFrame([("n", "p", True, False, 1000, 0), ("a", "p", False, False, 1000, 0)], "sample string, pool string, is_negative boolean, is_synthetic boolean, primer_matched long, threshold long")
+    cells = spark.createDataFrame([("M1", "x", "AC", "n", 500), ("M1", "x", "AC", "a", 400), ("M2", "y", "GT", "a", 300)], "marker string, md5 string, seq string, sample string, abundance long")
+    limits = thresholds.sample_thresholds(samples, thresholds.max_abundances(cells, cells.limit(0).select("md5")), 10, 0.001)
+    kept = {(r.marker, r["sample"]) for r in tally.by_sample_threshold(cells, limits).collect()}
+    assert kept == {("M1", "n"), ("M2", "a")}
+    merged = {r["sample"]: r.threshold for r in reports.merged_limits(limits).collect()}
+    assert merged == {"n": "10", "a": "By marker"}
+
+
+def test_genera_keep_a_taxid_each(spark):
+    taxonomy = spark.createDataFrame([("Aus", "", 0), ("Cus", "", 0)], "genus string, species string, taxid int")
+    twins = refs(spark, [("A" * 20, "Aus", "bus", 3), ("A" * 18 + "CC", "Cus", "dus", 4)])
+    middle = spark.createDataFrame([("q", "A" * 15 + "GGG" + "AC")], "md5 string, seq string")
+    got = classify.by_distance(middle, twins, 5, taxonomy).collect()[0]
+    assert (got.taxids, got.names) == ("0;0", "Aus;Cus")
+
+
+def test_ambiguous_names_stay_bare(spark):
+    rows = spark.createDataFrame([("s", "A;B c"), ("s", "D"), ("t", "")], "sample string, names string")
+    assert {r["sample"]: r.summary for r in reports.classification_summary(rows).collect()} == {"s": "A(*), B c(*), D (unknown species)", "t": "Unknown"}
+
+
+def test_missing_leaders(spark):
+    have = spark.createDataFrame([("TTTGGGCCCAAA", "r1"), ("GGGCCCAAAT", "r2"), ("GACCC", "r0")], "seq string, title string")
+    new = spark.createDataFrame([("AATTGGGCCC",), ("AATTC",), ("GGCC",), ("GACCC",), ("AATTAG",)], "seq string")
+    found = {r.seq: r.titles for r in extras.missed_references(new, have, "AATT").collect()}
+    assert found == {"aaTTGGGCCC": "r1", "aattGGGCCC": "r2", "aattC": "r0;r1;r2", "GGCC": "r1;r2"}
+    texts = spark.createDataFrame([(1, "a short passage here"), (2, "none"), (3, None)], "doc_id long, text string")
+    passages = spark.createDataFrame([(7, "short passage"), (8, "a short passage here"), (9, ""), (10, None), (11, "no")], "item_id long, passage string")
+    assert {(r.doc_id, r.item_id) for r in extras.texts_holding(texts, passages).collect()} == {(1, 7), (1, 8), (2, 11)}
+
+
 def test_assessment_rows(spark):
     rows = [(["A b"], ["A b"], 3), (["A b"], [], 1), ([], ["C d"], 2), ([], [], 4)]
     t = spark.createDataFrame(rows, "expected array<string>, predicted array<string>, n_samples long")

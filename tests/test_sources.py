@@ -31,6 +31,12 @@ def test_fasta_round_trip(spark, tmp_path):
     assert files.read_headers(spark, path).first().fields == {"marker": "ITS1", "abundance": "13"}
 
 
+def test_fasta_titles_may_hold_the_mark(spark, tmp_path):
+    (tmp_path / "x.fasta").write_text(">a >b c\nAC\nGT\n>d\nTT\n")
+    rows = files.read_fasta(spark, f"file://{tmp_path}/x.fasta").collect()
+    assert {(r.title, r.seq) for r in rows} == {("a >b c", "ACGT"), ("d", "TT")}
+
+
 def test_tally_round_trip(spark, tmp_path):
     cells = spark.createDataFrame([("M", "x", "ACGT", "a", 5), ("M", "x", "ACGT", "b", 2), ("M", "y", "CCCC", "b", 9)], "marker string, md5 string, seq string, sample string, abundance long")
     stats = spark.createDataFrame([("a", "Threshold", "10"), ("b", "Threshold", "20")], "sample string, field string, value string")
