@@ -1,7 +1,8 @@
 """A corpus pipeline over documents: quality, toxicity, near copies, benchmark decontamination, mixing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before kept; run() writes each stage's result
-as Parquet to the shared folder and reads it again. All stages but the last keep the columns of documents. Models are
+as Parquet to the shared folder and reads it again. All stages but the last keep the columns of documents, and any others;
+the last returns training rows: text, copies and positions. No rows in: no rows out. Very long texts are read whole. Models are
 fitted on labelled rows of the whole documents table, whatever earlier stages left of it.
 
 Null texts: judged as empty. Rows with a null doc_id are never dropped as copies, since no id tells them apart; repeated
@@ -66,7 +67,7 @@ STAGES = [
     ("benchmark_decontamination", drop_leaks),
     ("mixing", mix_sources),
 ]
-#: SQL can't express the models. Tested: the near copies of one_of_each; run() and the other stages have no brute-force test yet.
+#: SQL can't express the models; tests/llm/test_pipeline.py holds run() against a brute-force version, and every stage on odd tables.
 ORACLE_SQL = None
 
 
