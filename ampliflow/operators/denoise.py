@@ -23,28 +23,28 @@ def unoise(counts: DataFrame, alpha: float = 2.0, gamma: int = 4, abundance_base
     Distance-based (default): the nearest centroid, of equals the least abundant, then the first by sequence.
     Abundance-based: the most abundant that qualifies, then the first by sequence.
     """
-    kept = counts.where(F.col("abundance") >= gamma).groupBy("seq").agg(F.sum("abundance").alias("abundance"))
+    seqs = counts.where(F.col("abundance") >= gamma).groupBy("seq").agg(F.sum("abundance").alias("abundance"))
     spark = counts.sparkSession
-    bounds = kept.agg(F.max("abundance"), F.min("abundance")).first()
+    bounds = seqs.agg(F.max("abundance"), F.min("abundance")).first()
     if bounds[0] is None:
-        return kept.select("seq", F.col("seq").alias("centroid"))
+        return seqs.select("seq", F.col("seq").alias("centroid"))
     top, least = bounds
     reach = _cutoff(top, least, alpha)
     if reach < 1:
-        return kept.select("seq", F.col("seq").alias("centroid"))
-    pairs = near_pairs(kept.select(F.col("seq").alias("l"), F.col("seq").alias("l_seq")), kept.select(F.col("seq").alias("r"), F.col("seq").alias("r_seq")), reach)
+        return seqs.select("seq", F.col("seq").alias("centroid"))
+    pairs = near_pairs(seqs.select(F.col("seq").alias("l"), F.col("seq").alias("l_seq")), seqs.select(F.col("seq").alias("r"), F.col("seq").alias("r_seq")), reach)
     a, c = F.col("a.abundance"), F.col("c.abundance")
-    pairs = pairs.where("l <> r").join(kept.alias("a"), F.col("l") == F.col("a.seq")).join(kept.alias("c"), F.col("r") == F.col("c.seq"))
+    pairs = pairs.where("l <> r").join(seqs.alias("a"), F.col("l") == F.col("a.seq")).join(seqs.alias("c"), F.col("r") == F.col("c.seq"))
     allowed = F.least(F.when(a * 2 < top, F.floor((F.log2(F.lit(float(top)) / a) - 1) / alpha)).otherwise(0), F.lit(MAX_DISTANCE))
     ok = (F.col("dist") <= allowed) & (c >= a * F.lit(2.0 ** (alpha + 1))) & (a * F.pow(F.lit(2.0), F.lit(alpha) * F.col("dist") + 1) <= c)
-    pairs = _kept(spark, pairs.where(ok).select(F.col("l").alias("seq"), F.col("r").alias("choice"), "dist", c.alias("n")))
-    state = _kept(spark, kept.select("seq").join(pairs.select("seq").distinct(), "seq", "left_anti").select("seq", F.lit(True).alias("is_centroid")))
-    total = kept.count()
+    pairs = kept(spark, pairs.where(ok).select(F.col("l").alias("seq"), F.col("r").alias("choice"), "dist", c.alias("n")))
+    state = kept(spark, seqs.select("seq").join(pairs.select("seq").distinct(), "seq", "left_anti").select("seq", F.lit(True).alias("is_centroid")))
+    total = seqs.count()
     while state.count() < total:
         seen = pairs.join(state.select(F.col("seq").alias("choice"), "is_centroid"), "choice", "left")
         votes = seen.groupBy("seq").agg(F.bool_or(F.coalesce("is_centroid", F.lit(False))).alias("_taken"), F.bool_and(F.col("is_centroid").isNotNull()).alias("_settled"))
         new = votes.where(F.col("_settled")).join(state, "seq", "left_anti").select("seq", (~F.col("_taken")).alias("is_centroid"))
-        state = _kept(spark, state.unionByName(new))
+        state = kept(spark, state.unionByName(new))
     best = F.struct("dist", "n", "choice") if not abundance_based else F.struct((-F.col("n")).alias("n"), F.col("choice").alias("c"))
     chosen = pairs.join(state.where("is_centroid").select(F.col("seq").alias("choice")), "choice").groupBy("seq").agg(F.min_by("choice", best).alias("centroid"))
     return state.join(chosen, "seq", "left").select("seq", F.when(F.col("is_centroid"), F.col("seq")).otherwise(F.col("centroid")).alias("centroid"))
@@ -54,7 +54,7 @@ def _cutoff(top: int, a: int, alpha: float) -> int:
     return min(math.floor((math.log2(top / a) - 1) / alpha) if a * 2 < top else 0, MAX_DISTANCE)
 
 
-def _kept(spark, df: DataFrame) -> DataFrame:
+def kept(spark, df: DataFrame) -> DataFrame:
     """Cuts the lineage: a checkpoint in the session's shared folder, or a cache where there is none."""
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return df.checkpoint()

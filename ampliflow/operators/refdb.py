@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequences import binomial, is_rejected_name
+from .denoise import kept
 
 
 def star_view(sources: DataFrame, sequences: DataFrame, markers: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -99,6 +100,16 @@ def by_taxid(ids: DataFrame, taxonomy: DataFrame, synonyms: DataFrame) -> DataFr
     return ids.join(own, "taxid", "left").join(other, "taxid", "left").withColumn("taxonomy_id", F.coalesce("_own", "_other")).drop("_own", "_other")
 
 
+def among(refs: DataFrame, seqs: DataFrame) -> DataFrame:
+    """The references whose sequence is one of seqs(md5)."""
+    return refs.join(seqs.select("md5").distinct(), "md5", "left_semi")
+
+
+def unknown(seqs: DataFrame, refs: DataFrame) -> DataFrame:
+    """The sequences that are no reference's."""
+    return seqs.join(refs.select("md5").distinct(), "md5", "left_anti")
+
+
 def import_entries(entries: DataFrame, taxonomy: DataFrame, synonyms: DataFrame, mode: str = "validate", min_length: int = 0, max_length: int = 1 << 30) -> DataFrame:
     """entries(accession, seq, taxid, name) resolved to genus and species; unresolved ones are dropped.
 
@@ -128,13 +139,14 @@ def import_entries(entries: DataFrame, taxonomy: DataFrame, synonyms: DataFrame,
 def subtree(nodes: DataFrame, roots: DataFrame, steps: int = 60) -> DataFrame:
     """taxid, root, depth of all nodes at or below roots(taxid); nodes(taxid, parent).
 
-    One join per level; levels are few in a taxonomy. A node that is its own parent is not followed.
+    One join per level, whose lineage is cut; levels are few in a taxonomy. A node that is its own parent is not followed.
     """
+    spark = nodes.sparkSession
     level = roots.select("taxid", F.col("taxid").alias("root"), F.lit(0).alias("depth"))
     edges = nodes.where("taxid <> parent").select(F.col("taxid").alias("child"), "parent")
     out = level
     for depth in range(1, steps):
-        level = level.join(edges, level["taxid"] == edges["parent"]).select(F.col("child").alias("taxid"), "root", F.lit(depth).alias("depth"))
+        level = kept(spark, level.join(edges, level["taxid"] == edges["parent"]).select(F.col("child").alias("taxid"), "root", F.lit(depth).alias("depth")))
         if level.isEmpty():
             return out
         out = out.unionByName(level)

@@ -95,5 +95,10 @@ def titles_by_sequence(fasta: DataFrame, sep: str = ";") -> DataFrame:
     return parts.groupBy("seq").agg(F.array_join(F.array_sort(F.collect_set(F.trim("title"))), sep).alias("titles"))
 
 
+def first_names(titles: DataFrame) -> DataFrame:
+    """seq, name: of titles(seq, ordinal, name) the first seen name of each sequence."""
+    return titles.groupBy(F.upper("seq").alias("seq")).agg(F.min_by("name", F.struct("ordinal", "name")).alias("name"))
+
+
 def add_md5(seqs: DataFrame) -> DataFrame:
     return seqs.withColumn("md5", md5_key(F.col("seq")))

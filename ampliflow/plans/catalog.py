@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..functions import titles
-from ..operators import assess, classify, denoise, distance, extras, graph, refdb, reports, tally, thresholds
+from ..operators import assess, classify, denoise, distance, extras, graph, prepare, refdb, reports, tally, thresholds
 from .fixture import ctes, frame
 
 _QUERIES: dict = {}
@@ -572,3 +572,40 @@ def streaming_derep(spark, sf):
 def _folder(spark, path: str) -> str:
     """A glob that a file stream accepts for one file or a folder of files."""
     return path if spark.read.format("binaryFile").load(path).select("path").limit(2).count() > 1 else path.rsplit("/", 1)[0] + "/events.parque[t]"
+
+
+# ---- preparation ----------------------------------------------------------------------------------------------
+
+_ACCEPT = _TALLY + """, totals AS (SELECT marker, sample, sum(abundance)::BIGINT AS primer_matched, greatest(40, ceil(0.003::DOUBLE * sum(abundance)))::BIGINT AS threshold FROM tally GROUP BY marker, sample)"""
+
+
+@query(ctes("reads") + _ACCEPT + """ SELECT marker, sample, md5, seq, abundance FROM tally JOIN totals USING (marker, sample) WHERE abundance >= threshold""")
+def prepare_nr(spark, sf):
+    return prepare.accepted(frame(spark, sf, "reads"), 40, 0.003)
+
+
+@query(ctes("reads") + _ACCEPT + """ SELECT marker, sample, any_value(primer_matched) AS primer_matched, any_value(threshold) AS threshold, count(*) FILTER (abundance = 1) AS singletons,
+  coalesce(sum(abundance) FILTER (abundance >= threshold), 0)::BIGINT AS accepted, count(*) FILTER (abundance >= threshold) AS n_unique FROM tally JOIN totals USING (marker, sample) GROUP BY marker, sample""")
+def prepare_stats(spark, sf):
+    return prepare.statistics(frame(spark, sf, "reads"), 40, 0.003)
+
+
+@query(ctes("refs") + """ SELECT marker, min(accession) AS spike, seq AS spike_order, seq AS spike_seq FROM refs WHERE lower(genus) IN ('promo', 'small') GROUP BY marker, seq""")
+def spike_genera(spark, sf):
+    return prepare.spike_sequences(frame(spark, sf, "refs"), ["promo", " Small"])
+
+
+@query(ctes("refs", "reads") + """ SELECT DISTINCT marker, md5, accession FROM refs WHERE seq IN (SELECT seq FROM reads)""")
+def refs_in_reads(spark, sf):
+    return refdb.among(frame(spark, sf, "refs"), _tally(spark, sf)).select("marker", "md5", "accession").distinct()
+
+
+@query(ctes("refs", "reads") + """ SELECT DISTINCT md5(seq) AS md5, seq FROM reads WHERE seq NOT IN (SELECT seq FROM refs)""")
+def reads_not_in_refs(spark, sf):
+    return refdb.unknown(_tally(spark, sf), frame(spark, sf, "refs")).select("md5", "seq").distinct()
+
+
+@query(ctes("refs") + """ SELECT seq, arg_min(accession, taxid::VARCHAR || accession) AS name FROM refs GROUP BY seq""")
+def first_names(spark, sf):
+    rows = frame(spark, sf, "refs")
+    return tally.first_names(rows.select("seq", F.concat(F.col("taxid").cast("string"), "accession").alias("ordinal"), F.col("accession").alias("name")))

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ampliflow.operators import assess, classify, denoise, distance, extras, graph, reads, refdb, reports, tally, thresholds
+from ampliflow.operators import assess, classify, denoise, distance, extras, graph, prepare, reads, refdb, reports, tally, thresholds
 
 
 def edits(a, b):
@@ -214,3 +214,35 @@ def test_titles_and_checksums(spark):
     assert [r.line for r in extras.checksum_lines(rows).collect()] == ["m1  a.gz", "m2  EM123.zip"]
     t = spark.createDataFrame([("AC", "b;a"), ("AC", "a")], "seq string, title string")
     assert tally.titles_by_sequence(t).first().titles == "a;b"
+
+
+def test_preparation_from_read_pairs(spark):
+    left, right = "ACGTACGTAA", "GGCCTTAACC"
+    back = reads_reverse(right)
+    rng = random.Random(5)
+    often, rare = ("".join(rng.choices("ACGT", k=40)) for _ in range(2))
+
+    def pair(sample, inner):
+        whole = left + inner + back
+        return (sample, whole, "I" * len(whole), reads_reverse(whole), "I" * len(whole))
+
+    rows = [pair("S1", often)] * 6 + [pair("S1", rare)] + [("S2", "A" * 20, "I" * 20, "A" * 20, "I" * 20)]
+    pairs = spark.createDataFrame(rows, "sample string, f_seq string, f_qual string, r_seq string, r_qual string")
+    nr, stats = prepare.prepared(pairs, [("M", left, right, 20, 60)], min_abundance=2, min_fraction=0.5)
+    assert [(r.marker, r.sample, r.seq, r.abundance) for r in nr.collect()] == [("M", "S1", often, 6)]
+    found = {r["sample"]: r.asDict() for r in stats.collect()}
+    assert (found["S1"]["raw"], found["S1"]["merged"], found["S1"]["primer_matched"], found["S1"]["threshold"]) == (7, 7, 7, 4)
+    assert (found["S1"]["singletons"], found["S1"]["accepted"], found["S1"]["n_unique"]) == (1, 6, 1)
+    assert (found["S2"]["raw"], found["S2"]["accepted"], found["S2"]["marker"]) == (1, 0, None)
+
+
+def reads_reverse(seq):
+    return seq.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+
+
+def test_spikes_of_genera_in_any_case(spark):
+    rows = [("M", "acgt", "B", "Synthetic"), ("M", "ACGT", "A", "synthetic"), ("N", "TTTT", "C", "SYNTHETIC"), ("M", "GGGG", "D", "Aus")]
+    refs = spark.createDataFrame(rows, "marker string, seq string, accession string, genus string")
+    found = {(r.marker, r.spike, r.spike_seq) for r in prepare.spike_sequences(refs, ["sYnthetic ", ""]).collect()}
+    assert found == {("M", "A", "ACGT"), ("N", "C", "TTTT")}
+    assert prepare.spike_sequences(refs, []).count() == 0
