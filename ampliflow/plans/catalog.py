@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as S
 from ..functions import titles
 from ..operators import assess, classify, denoise, distance, extras, graph, prepare, refdb, reports, tally, thresholds
+from ..sources import files
 from .fixture import ctes, frame
 
 _QUERIES: dict = {}
@@ -609,3 +610,33 @@ def reads_not_in_refs(spark, sf):
 def first_names(spark, sf):
     rows = frame(spark, sf, "refs")
     return tally.first_names(rows.select("seq", F.concat(F.col("taxid").cast("string"), "accession").alias("ordinal"), F.col("accession").alias("name")))
+
+
+# ---- tables as ordered lines ----------------------------------------------------------------------------------
+
+
+def _lines_sql(title: str, cells: str, order: str, source: str) -> str:
+    return f""" SELECT 0::BIGINT AS line, '#{title}' AS value UNION ALL SELECT row_number() OVER (ORDER BY {order}) AS line, concat_ws(chr(9), {cells}) AS value FROM {source}"""
+
+
+@query(ctes("refs") + _lines_sql("Marker\tIdentifier\tGenus\tSpecies\tTaxID\tMD5\tSequence", "marker, accession, genus, species, taxid, md5, seq", "marker, seq, accession", "refs"))
+def dump_lines(spark, sf):
+    return files.dump_lines(frame(spark, sf, "refs"))
+
+
+@query(_assess_sql(", joined AS (SELECT array_to_string(e, ';') AS e1, array_to_string(p, ';') AS p1, n FROM tl2)" + _lines_sql("sample-count\tExpected\tPredicted", "n, e1, p1", "e1, p1", "joined")))
+def mapping_lines(spark, sf):
+    return files.mapping_lines(_confusion(spark, sf))
+
+
+@query(ctes("families") + """, found AS (SELECT 0 AS o, md5, 'marker' AS level, string_agg(DISTINCT marker, ';' ORDER BY marker) AS conflicts FROM families GROUP BY md5 HAVING count(DISTINCT marker) > 1
+  UNION ALL SELECT 1, md5, 'genus', string_agg(DISTINCT genus, ';' ORDER BY genus) FROM families GROUP BY md5 HAVING count(DISTINCT genus) > 1
+  UNION ALL SELECT 2, md5, 'species', string_agg(DISTINCT trim(genus || ' ' || species), ';' ORDER BY trim(genus || ' ' || species)) FROM families WHERE species <> '' GROUP BY md5 HAVING count(DISTINCT trim(genus || ' ' || species)) > 1)"""
+  + _lines_sql("MD5\tLevel\tConflicts", "md5, level, conflicts", "o, md5", "found"))
+def conflict_lines(spark, sf):
+    return files.conflict_lines(refdb.conflicts(frame(spark, sf, "families")))
+
+
+@query(ctes("reads") + _TALLY + """ SELECT dense_rank() OVER (ORDER BY marker, md5) - 1 AS "row", dense_rank() OVER (ORDER BY sample) - 1 AS col, abundance AS value FROM tally""")
+def sparse_matrix(spark, sf):
+    return files.sparse_matrix(_tally(spark, sf))

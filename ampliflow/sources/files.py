@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequences import dequoted, read_abundance, read_prefix, sample_name
+from ..operators.denoise import kept
 
 FASTQ_SUFFIXES = (".fastq", ".fastq.gz", ".fq", ".fq.gz")
 #: How the two files of a pair are told apart.
@@ -190,8 +192,6 @@ def read_metadata(spark: SparkSession, path: str, columns: list[int], index: int
 
 def unique_samples(rows: DataFrame) -> DataFrame:
     """rows as they are; fails where a sample is listed more than once."""
-    from pyspark.sql import Window as W
-
     n = F.when(F.col("sample").isNotNull(), F.count("sample").over(W.partitionBy("sample")))
     return rows.withColumn("_n", n).where(F.when(F.coalesce("_n", F.lit(1)) == 1, True).otherwise(F.raise_error(F.concat(F.lit("sample listed twice: "), F.col("sample"))).cast("boolean"))).drop("_n")
 
@@ -234,10 +234,44 @@ def read_zip_member(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "path string, line_no long, value string")
 
 
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with their places from 0 in an order, without one task for all: places within range partitions plus offsets."""
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = kept(spark, dealt.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    # one row per partition
+    starts = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return dealt.withColumn("_part", part).join(F.broadcast(starts.drop("_n")), "_part").withColumn(name, F.col("_start") + place).drop("_part", "_start", "_at")
+
+
 def sparse_matrix(tally: DataFrame) -> DataFrame:
     """row, col, value coordinates of the tally matrix, numbered by marker/sequence and by sample."""
-    from pyspark.sql import Window as W
-
-    rows = tally.select("marker", "md5").distinct().withColumn("row", F.row_number().over(W.orderBy("marker", "md5")) - 1)
-    cols = tally.select("sample").distinct().withColumn("col", F.row_number().over(W.orderBy("sample")) - 1)
+    rows = numbered(tally.select("marker", "md5").distinct(), ["marker", "md5"], "row")
+    cols = numbered(tally.select("sample").distinct(), ["sample"], "col")
     return tally.join(rows, ["marker", "md5"]).join(cols, "sample").select("row", "col", F.col("abundance").alias("value"))
+
+
+def table_lines(rows: DataFrame, columns: dict[str, str], order: list) -> DataFrame:
+    """line, value: a tab-separated table with '#' before its titles; ``columns`` maps titles to columns, nulls are empty."""
+    spark = rows.sparkSession
+    cells = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns.values()])
+    body = numbered(rows, order, "_line").select((F.col("_line") + 1).alias("line"), cells.alias("value"))
+    return spark.range(1).select("id", F.lit("#" + "\t".join(columns)).alias("value")).toDF("line", "value").unionByName(body)
+
+
+def dump_lines(refs: DataFrame) -> DataFrame:
+    """The reference table by marker, sequence and accession."""
+    columns = {"Marker": "marker", "Identifier": "accession", "Genus": "genus", "Species": "species", "TaxID": "taxid", "MD5": "md5", "Sequence": "seq"}
+    return table_lines(refs, columns, ["marker", "seq", "accession", "genus", "species", "taxid"])
+
+
+def mapping_lines(confusion: DataFrame) -> DataFrame:
+    """How many samples have each expected and predicted list (assess.confusion_tally), sorted by the two."""
+    joined = confusion.select("n_samples", F.array_join("expected", ";").alias("expected"), F.array_join("predicted", ";").alias("predicted"))
+    return table_lines(joined, {"sample-count": "n_samples", "Expected": "expected", "Predicted": "predicted"}, ["expected", "predicted"])
+
+
+def conflict_lines(found: DataFrame) -> DataFrame:
+    """Conflicts (refdb.conflicts): first those of markers, then of genera, then of species, each by sequence."""
+    return table_lines(found, {"MD5": "md5", "Level": "level", "Conflicts": "conflicts"}, ["level_order", "md5"])

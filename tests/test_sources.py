@@ -2,6 +2,7 @@ import gzip
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from ampliflow.sources import files
 
@@ -71,3 +72,20 @@ def test_dumps_and_archives(spark, tmp_path):
 def test_matrix(spark):
     cells = spark.createDataFrame([("M", "x", "a", 5), ("M", "y", "b", 9)], "marker string, md5 string, sample string, abundance long")
     assert sorted(tuple(r) for r in files.sparse_matrix(cells).collect()) == [(0, 0, 5), (1, 1, 9)]
+
+
+def test_numbered_over_many_partitions(spark):
+    rows = spark.range(0, 500, 1, 7).select(((F.col("id") * 37) % 500).alias("v"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = [(r.v, r.at) for r in files.numbered(rows, ["v"], "at").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sorted(found) == [(i, i) for i in range(500)]
+    assert files.numbered(rows.limit(0), ["v"], "at").count() == 0
+
+
+def test_lines_of_tables(spark):
+    rows = spark.createDataFrame([("b", None), ("a", 2)], "k string, n int")
+    assert [tuple(r) for r in files.table_lines(rows, {"Key": "k", "Count": "n"}, ["k"]).orderBy("line").collect()] == [(0, "#Key\tCount"), (1, "a\t2"), (2, "b\t")]
