@@ -6,11 +6,16 @@ import pickle
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: Most characters of text that a classifier is fitted on; of the sample's rows, those that come later are left out.
 FIT_TOTAL = 40_000_000
+#: Rows of an Arrow batch in fitting.
+FIT_BATCH = 500
 
 
 def fold(doc_id, parts: int):
@@ -31,21 +36,32 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int, char
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where(F.length("text") <= chars)
     joined = joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_y").alias("_y"))
-    return joined.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("text", "_y")
+    # sorted in one task, which spills; an ordered limit would hold that many texts in every task
+    return joined.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").limit(rows).select("text", "_y")
+
+
+def as_texts(texts) -> pa.Array:
+    return texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
 
 
 def fitted(found: DataFrame, make: Callable, total: int = FIT_TOTAL):
-    """``make(texts, labels)``, called in one executor task over the sample; only the model comes to the driver."""
+    """``make(texts, labels)``, called in one executor task over the sample; only the model comes to the driver.
+
+    ``texts`` is an Arrow array. ``found`` is in one partition."""
 
     def fit(batches):
         texts, labels, held = [], [], 0
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held + len(text) <= total:
-                    held += len(text)
-                    texts.append(text)
-                    labels.append(y)
+            taken = []
+            for i, n in enumerate(pc.utf8_length(batch.column(0)).to_pylist()):
+                if held + n <= total:
+                    held += n
+                    taken.append(i)
+            texts.append(batch.column(0).take(pa.array(taken, pa.int64())))
+            labels += batch.column(1).take(pa.array(taken, pa.int64())).to_pylist()
+        texts = pa.concat_arrays(texts) if texts else as_texts([])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(texts, labels))], pa.binary())], ["model"])
 
-    models = found.coalesce(1).mapInArrow(fit, "model binary").collect()
+    with small_batches(found.sparkSession, FIT_BATCH):
+        models = found.mapInArrow(fit, "model binary").collect()
     return pickle.loads(bytes(models[0].model)) if models else make([], [])  # noqa: S301

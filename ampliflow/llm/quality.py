@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .labelled import as_texts, fold, sample
 from .labelled import fitted as fitted_to
-from .labelled import fold, sample
 from .shared import table
 from .textops import LOWER, SPACED, chunks, mixed, span_hashes, spans
 
@@ -68,7 +68,7 @@ def context_vectors(texts: list[str]) -> np.ndarray:
     """Word vectors of all rows from the neighbours in these texts."""
     index = index_vectors()
     total = np.zeros_like(index)
-    for _, _, flat, offsets in chunks(pa.array(texts, pa.string()), FIT_CHUNK):
+    for _, _, flat, offsets in chunks(as_texts(texts), FIT_CHUNK):
         words, shapes, docs = rows_of(flat, offsets)
         for step in range(1, REACH + 1):
             near = docs[step:] == docs[:-step]
@@ -152,7 +152,7 @@ class QualityModel:
         self.vectors, self.network = context_vectors(texts), None
         self.share = float((y.sum() + 1) / (len(y) + 2))
         if 0 < y.sum() < len(y):
-            x = np.concatenate([pooled(flat, offsets, self.vectors) for _, _, flat, offsets in chunks(pa.array(texts, pa.string()), FIT_CHUNK)])
+            x = np.concatenate([pooled(flat, offsets, self.vectors) for _, _, flat, offsets in chunks(as_texts(texts), FIT_CHUNK)])
             self.network = Network(x, y)
 
     def scores(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:

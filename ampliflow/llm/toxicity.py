@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .labelled import as_texts, fold, sample
 from .labelled import fitted as fitted_to
-from .labelled import fold, sample
 from .shared import table
 from .textops import LOWER, PLAIN, chunks, span_hashes, spans
 
@@ -28,6 +28,10 @@ PREFIXES = (4, 6)
 TELLING = 0.5
 MIN_DOCS = 3
 OFFENDING = 0.5
+#: Bytes of text that fitting works on at a time.
+FIT_CHUNK = 1 << 18
+#: Bytes from which one text is scored in pieces.
+PIECE = 1 << 20
 _IN_SENTENCE = np.ones(256, bool)
 _IN_SENTENCE[[0x0A, 0x21, 0x2E, 0x3F]] = False  # line end ! . ?
 
@@ -53,6 +57,25 @@ def sentences(flat: np.ndarray, offsets: np.ndarray):
     return rows, first, docs[first], begin[owner[first]], end[owner[first]]
 
 
+def pieces(flat: np.ndarray):
+    """(start, end) of stretches of PIECE bytes, each up to its last sentence end, or else its last word end; longer for a longer word."""
+    at = 0
+    while at < len(flat):
+        to = min(at + PIECE, len(flat))
+        if to < len(flat):
+            for outside in (~_IN_SENTENCE, ~PLAIN):
+                ends = np.flatnonzero(outside[flat[at:to]])
+                if len(ends):
+                    to = at + int(ends[-1]) + 1
+                    break
+            else:
+                while to < len(flat) and PLAIN[flat[to]]:
+                    more = np.flatnonzero(~PLAIN[flat[to : to + PIECE]])
+                    to = to + int(more[0]) if len(more) else min(to + PIECE, len(flat))
+        yield at, to
+        at = to
+
+
 class ToxicityModel:
     """Weights of hashed words; without toxic labels every score is 0.
 
@@ -66,28 +89,34 @@ class ToxicityModel:
         self.weights, self.bias = np.zeros(WEIGHTS, np.float32), BIAS
         if not 0 < y.sum() < len(y):
             return
-        rows, owner, doc, before = [], [], [], 0
-        for a, _, flat, offsets in chunks(pa.array(texts, pa.string())):
-            r, first, d, _, _ = sentences(flat, offsets)
-            rows.append(r)
-            owner.append(np.repeat(np.arange(len(first)), np.diff(np.append(first, len(r)))) + before)
-            doc.append(d + a)
-            before += len(first)
-        rows, owner, doc = map(np.concatenate, (rows, owner, doc))
+        texts = as_texts(texts)
         n = len(y)
         weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
-        pairs = np.unique(doc[owner] * WEIGHTS + rows)
-        d, r = pairs // WEIGHTS, pairs % WEIGHTS
-        toxic, all_ = np.bincount(r, y[d], WEIGHTS), np.bincount(r, minlength=WEIGHTS)
+        # features are made twice, a chunk at a time: once to choose words, once for the places of the chosen ones
+        toxic, all_, weighted = np.zeros(WEIGHTS), np.zeros(WEIGHTS), np.zeros(WEIGHTS)
+        for a, _, flat, offsets in chunks(texts, FIT_CHUNK):
+            rows, first, doc, _, _ = sentences(flat, offsets)
+            pairs = np.unique(np.repeat(doc + a, np.diff(np.append(first, len(rows)))) * WEIGHTS + rows)
+            d, r = pairs // WEIGHTS, pairs % WEIGHTS
+            for total, value in ((toxic, y[d]), (all_, 1), (weighted, weight[d])):
+                np.add.at(total, r, value)
         chance = all_ * y.mean()
         chosen = (toxic >= TELLING * all_) & (toxic >= MIN_DOCS) & (toxic - chance >= sure * np.sqrt(chance * (1 - y.mean())))
         if not chosen.any():
             return
-        weighted = np.bincount(r, weight[d], WEIGHTS)[chosen]
-        keep = chosen[rows]
-        # a word once per sentence
-        pairs = np.unique(owner[keep] * WEIGHTS + rows[keep])
-        owner, local = pairs // WEIGHTS, (np.cumsum(chosen) - 1)[pairs % WEIGHTS]
+        weighted, place = weighted[chosen], np.cumsum(chosen) - 1
+        owner, local, docs, before = [], [], [], 0
+        for a, _, flat, offsets in chunks(texts, FIT_CHUNK):
+            rows, first, doc, _, _ = sentences(flat, offsets)
+            keep = chosen[rows]
+            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows))))[keep]
+            # a word once per sentence
+            pairs = np.unique(of * WEIGHTS + rows[keep])
+            owner.append(pairs // WEIGHTS + before)
+            local.append(place[pairs % WEIGHTS])
+            docs.append(doc + a)
+            before += len(first)
+        owner, local, doc = map(np.concatenate, (owner, local, docs))
         w = np.zeros(int(chosen.sum()))
         for _ in range(rounds):
             z = self.bias + np.bincount(owner, w[local], before)
@@ -100,13 +129,50 @@ class ToxicityModel:
             w = np.sign(w) * np.maximum(np.abs(w) - shrink * step, 0)
         self.weights[chosen] = w
 
+    def _sums(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.weights[rows].astype(float), first) if len(first) else np.zeros(0)
+
+    def _long(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of weights, starts and ends of the sentences of one long text, read in pieces that cut no word."""
+        z, begin, end = [], [], []
+        start, held, words = -1, 0.0, False  # of a sentence that goes on from the piece before
+
+        for at, to in pieces(flat):
+            part = flat[at:to]
+            rows, first, _, b, e = sentences(part, np.array([0, len(part)]))
+            s = self._sums(rows, first)
+            stops = np.flatnonzero(~_IN_SENTENCE[part])
+            if start >= 0:
+                if len(b) and b[0] == 0:
+                    held, words = held + s[0], True
+                    s, b, e = s[1:], b[1:], e[1:]
+                if len(stops):
+                    if words:
+                        z.append([held]), begin.append([start]), end.append([at + stops[0]])
+                    start = -1
+            if start < 0 and to < len(flat) and (not len(stops) or stops[-1] < len(part) - 1):
+                last = int(stops[-1]) + 1 if len(stops) else 0
+                start, words = at + last, bool(len(b) and b[-1] == last)
+                held = s[-1] if words else 0.0
+                if words:
+                    s, b, e = s[:-1], b[:-1], e[:-1]
+            z.append(s), begin.append(b + at), end.append(e + at)
+        if start >= 0 and words:
+            z.append([held]), begin.append([start]), end.append([len(flat)])
+        return np.concatenate(z), np.concatenate(begin).astype(np.int64), np.concatenate(end).astype(np.int64)
+
     def scores(self, flat: np.ndarray, offsets: np.ndarray):
         """(document scores, sentence scores, documents, starts and ends of sentences)."""
-        rows, first, docs, begin, end = sentences(flat, offsets)
         n = len(offsets) - 1
-        if not len(first):
+        if n == 1 and len(flat) > PIECE:
+            z, begin, end = self._long(flat)
+            docs = np.zeros(len(z), np.int64)
+        else:
+            rows, first, docs, begin, end = sentences(flat, offsets)
+            z = self._sums(rows, first)
+        if not len(z):
             return np.zeros(n), np.zeros(0), docs, begin, end
-        z = self.bias + np.add.reduceat(self.weights[rows].astype(float), first)
+        z = self.bias + z
         total = np.bincount(docs, np.logaddexp(0, z), n)
         return -np.expm1(-total), 1 / (1 + np.exp(-np.clip(z, -500, 500))), docs, begin, end
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -143,6 +144,45 @@ def test_toxicity_held_out_and_located():
         assert re.search(rb"idiotix|scumble|moronous", data[begin[i] : end[i]], re.I)
 
 
+def test_toxicity_of_long_texts_in_pieces(monkeypatch):
+    """A text in pieces has the sentences of a text read at once, also where a sentence or a word is longer than a piece."""
+    texts, _, toxic = labelled(600, 2)
+    model = toxicity.ToxicityModel(texts[:450], toxic[:450])
+    rng = random.Random(3)
+    parts = [t + rng.choice([". ", "\n", " ", "!?", "é ", "..", " idiotix, ", "z" * 90, " " * 80, ", " * 50]) for t in texts]
+    for a in range(0, 600, 40):
+        flat = np.frombuffer("".join(parts[a : a + 40]).encode(), np.uint8)
+        offsets = np.array([0, len(flat)])
+        whole = model.scores(flat, offsets)
+        monkeypatch.setattr(toxicity, "PIECE", rng.choice([7, 64, 300]))
+        assert len(list(toxicity.pieces(flat))) > 9
+        found = model.scores(flat, offsets)
+        monkeypatch.undo()
+        assert all(np.array_equal(x, y) for x, y in zip(found[2:], whole[2:], strict=True))
+        assert np.allclose(found[0], whole[0]) and np.allclose(found[1], whole[1])
+
+
+def peak_bytes(call):
+    tracemalloc.start()
+    try:
+        call()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_toxicity_in_bounded_memory():
+    """Fitting and scoring hold a few bytes for each byte of text, not the features of all words."""
+    texts, _, toxic = labelled(400, 2)
+    texts = pa.array([" ".join(WORDS) * 100 + t for t in texts])
+    size = texts.nbytes
+    assert size > 3e6
+    toxicity.ToxicityModel(texts.slice(0, 20), toxic[:20])  # tables of powers
+    assert peak_bytes(lambda: toxicity.ToxicityModel(texts, toxic)) < 7 * size
+    flat = np.tile(np.frombuffer(b"some words of one. long text ", np.uint8), 400_000)
+    assert peak_bytes(lambda: TOXIC.scores(flat, np.array([0, len(flat)]))) < 8 * len(flat) + 4e7
+
+
 def test_models_are_fitted_by_a_task(spark):
     texts, good, _ = labelled(200, 4)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, None), (None, "x"), (5, "z" * 900)], "doc_id long, text string")
