@@ -243,6 +243,45 @@ def test_near_components(spark, monkeypatch, chunk):
     assert found == brute_components(rows)
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_near_components_of_repeated_rows(spark, monkeypatch, few):
+    """Rows of equal ids and texts give their set once; sets come by broadcast or by shuffle."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_SETS", few)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:59], "x"])), (2, " ".join([*words[:59], "x"])), (None, " ".join(["y", *words[1:]])), (4, "other " * 3)]
+    docs = spark.createDataFrame([*rows, *rows], "doc_id long, text string")
+    found = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_components(docs).collect()]
+    assert sorted(found, key=str) == sorted([(1, 57, 1), (2, 57, 1), (2, 57, 1), (None, 57, 1), (4, 1, 4)] * 2, key=str)
+
+
+def shuffled_bytes(spark):
+    """Of all stages so far, by the session's status store."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_sets_are_shuffled_once(spark):
+    """The sets of blocks of ordinary size go through one shuffle, to their jobs, also where no table is small enough for a broadcast."""
+    rng = random.Random(3)
+    rows = []
+    for group in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+        rows += [(3 * group + c, " ".join([*words[:c], f"x{c}", *words[c + 1 :]])) for c in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    limit = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        before = shuffled_bytes(spark)
+        assert len({r.component_id for r in ngram_join.near_components(docs).collect()}) == 60
+        # beside the sets of 8 bytes a shingle, their first shingles are counted and joined
+        assert shuffled_bytes(spark) - before < 2.5 * 8 * 1497 * len(rows)
+    finally:
+        spark.conf.set(name, limit)
+
+
 def test_near_copies_over_many_chunks(spark, monkeypatch):
     """One large group of near copies and outsiders at its edge, which only some of them link with."""
     rng = random.Random(8)
