@@ -30,6 +30,8 @@ FIT_CHARS = 200_000
 THRESHOLD = 0.3
 #: Bytes of text that fitting works on at a time.
 FIT_CHUNK = 1 << 18
+#: Words whose vectors are gathered at a time; one stretch of a document may have more.
+GATHER = 1 << 14
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[128:] = 1, 2, 3, 3
@@ -99,9 +101,12 @@ def pooled(flat: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.nda
         # a long document is summed in stretches, which bounds the gathered vectors
         cuts = np.unique(np.concatenate((first, np.arange(0, len(rows), 1 << 15))))
         owner = docs[cuts]
-        for a in range(0, len(cuts), 4096):
-            begin, end = cuts[a], cuts[a + 4096] if a + 4096 < len(cuts) else len(rows)
-            np.add.at(out[:, k * DIMENSIONS : (k + 1) * DIMENSIONS], owner[a : a + 4096], np.add.reduceat(vectors[rows[begin:end]], cuts[a : a + 4096] - begin))
+        a = 0
+        while a < len(cuts):
+            b = len(cuts) if len(rows) - cuts[a] <= GATHER else max(a + 1, int(np.searchsorted(cuts, cuts[a] + GATHER, "right")) - 1)
+            begin, end = cuts[a], cuts[b] if b < len(cuts) else len(rows)
+            np.add.at(out[:, k * DIMENSIONS : (k + 1) * DIMENSIONS], owner[a:b], np.add.reduceat(vectors[rows[begin:end]], cuts[a:b] - begin))
+            a = b
     out[here, : 2 * DIMENSIONS] /= counts[here, None]
     out[:, -1] = np.log1p(counts) / 10
     return out

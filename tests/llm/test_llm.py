@@ -183,6 +183,13 @@ def test_toxicity_in_bounded_memory():
     assert peak_bytes(lambda: TOXIC.scores(flat, np.array([0, len(flat)]))) < 8 * len(flat) + 4e7
 
 
+def test_quality_in_bounded_memory():
+    """Scoring gathers the vectors of some words at a time, not those of a whole chunk."""
+    (_, _, flat, offsets), *_ = chunks(pa.array([" ".join(WORDS[k % 7 :] * 10) for k in range(900)]))
+    QUALITY.scores(flat, offsets)  # tables of powers
+    assert len(flat) > 5e5 and peak_bytes(lambda: QUALITY.scores(flat, offsets)) < 36 * len(flat)
+
+
 def test_models_are_fitted_by_a_task(spark):
     texts, good, _ = labelled(200, 4)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, None), (None, "x"), (5, "z" * 900)], "doc_id long, text string")
