@@ -471,8 +471,9 @@ def pcr_status(spark, sf):
 @query("""WITH s AS (SELECT o_orderpriority AS caption, o_orderkey, count(*) AS raw, sum(l_quantity)::BIGINT AS primer, count(*) FILTER (l_quantity = 1) AS single, count(DISTINCT l_partkey) AS uniq FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
 SELECT caption, sum(raw)::BIGINT AS raw, sum(raw)::BIGINT AS merged, sum(primer)::BIGINT AS primer_matched, sum(primer - single)::BIGINT AS no_singletons, sum(primer - 2 * single)::BIGINT AS accepted, sum(uniq)::BIGINT AS n_unique FROM s WHERE raw >= 2 GROUP BY caption""")
 def read_reduction(spark, sf):
-    rows = frame(spark, sf, "orders").join(frame(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    s = rows.groupBy(F.col("o_orderpriority").alias("caption"), "o_orderkey").agg(F.count(F.lit(1)).alias("raw"), F.sum("l_quantity").cast("long").alias("primer_matched"), F.count_if(F.col("l_quantity") == 1).alias("singletons"), F.countDistinct("l_partkey").alias("n_unique"))
+    orders = frame(spark, sf, "orders").groupBy("o_orderkey", F.col("o_orderpriority").alias("caption")).agg(F.count(F.lit(1)).alias("times"))
+    s = orders.join(extras.line_sums(frame(spark, sf, "lineitem"), "l_orderkey", "l_quantity", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    s = s.select("caption", (F.col("n") * F.col("times")).alias("raw"), (F.col("total") * F.col("times")).cast("long").alias("primer_matched"), (F.col("ones") * F.col("times")).alias("singletons"), "n_unique")
     s = s.withColumn("merged", F.col("raw")).withColumn("accepted", F.col("primer_matched") - 2 * F.col("singletons"))
     return extras.read_reduction(s, "caption", 2)
 

@@ -20,3 +20,11 @@ def test_long_texts_are_searched_in_one_go(spark):
     texts = spark.range(4).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("abcdefgh ñ"), 200_000), F.lit("needle")).alias("text"))
     passages = spark.createDataFrame([(1, "needle"), (2, "needles")], "item_id int, passage string")
     assert extras.texts_holding(texts, passages).count() == 4  # a text of two million letters is not read from its start for each of its places
+
+
+def test_line_sums_take_no_table_of_keys_and_items(spark):
+    rows = [(1, 1.0, 7), (1, 3.0, 7), (1, 1.0, None), (2, 5.0, 8), (None, 1.0, 9)]
+    found = extras.line_sums(spark.createDataFrame(rows, "k int, q double, i int"), "k", "q", "i")
+    assert {(r.k, r.n, r.total, r.ones, r.n_unique) for r in found.collect()} == {(1, 3, 5.0, 2, 1), (2, 1, 5.0, 0, 1), (None, 1, 1.0, 1, 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert " HashAggregate" not in plan and plan.count("Exchange") == 1
