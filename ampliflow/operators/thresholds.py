@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import K, kmers
+from .joins import counted
 
 FATAL_FRACTION = 0.5
 
@@ -21,8 +22,8 @@ def spike_matches(seqs: DataFrame, spikes: DataFrame, k: int = K) -> DataFrame:
     grams = spikes.select("spike", "spike_order", F.col("spike_seq"), F.explode(F.array_distinct(kmers(F.col("spike_seq"), k))).alias("kmer"))
     places = seqs.select("md5", F.explode(kmers(F.col("seq"), k)).alias("kmer"))
     enough = F.greatest((F.length("spike_seq") - k) / 3, F.lit(10.0))
-    shared = places.join(grams, "kmer").groupBy("md5", "spike", "spike_order", "spike_seq").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough)
-    same = seqs.join(spikes, F.upper("seq") == F.upper("spike_seq")).select("md5", "spike", "spike_order")
+    shared = counted(places, grams, "kmer").groupBy("md5", "spike", "spike_order", "spike_seq").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough)
+    same = counted(seqs.withColumn("_up", F.upper("seq")), spikes.withColumn("_up", F.upper("spike_seq")), "_up").select("md5", "spike", "spike_order")
     found = shared.select("md5", "spike", "spike_order").unionByName(same)
     return found.groupBy("md5").agg(F.min_by("spike", F.struct("spike_order", "spike")).alias("spike"))
 

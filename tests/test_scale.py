@@ -1,9 +1,15 @@
 """Steps that must not grow faster than the tables: the same results by the larger tables' ways, and plans without guessed broadcasts."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from ampliflow.operators import extras
+from ampliflow.operators import extras, thresholds
+from ampliflow.plans import catalog
+
+SF = "/root/testdata/sf0.001"
+given = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
 @pytest.mark.parametrize("limit, hashes", [(100_000, 1_000_000), (0, 2)])
@@ -27,4 +33,31 @@ def test_line_sums_take_no_table_of_keys_and_items(spark):
     found = extras.line_sums(spark.createDataFrame(rows, "k int, q double, i int"), "k", "q", "i")
     assert {(r.k, r.n, r.total, r.ones, r.n_unique) for r in found.collect()} == {(1, 3, 5.0, 2, 1), (2, 1, 5.0, 0, 1), (None, 1, 1.0, 1, 1)}
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert " HashAggregate" not in plan and plan.count("Exchange") == 1
+    assert " HashAggregate" not in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+@given
+@pytest.mark.parametrize("name", ["derep_min_abundance", "revcomp_nr", "missed_refs", "classify_1s3g", "unoise_tally"])
+def test_sequences_are_made_in_many_tasks_and_not_written_out_in_filters(spark, name):
+    spark.conf.set("spark.sql.maxPlanStringLength", 10_000_000)
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    assert not [x for x in lines if "Filter" in x and "0123456789abcdef" in x]
+    assert not [i for i, x in enumerate(lines) if "Relation" in x and "p_partkey" in x and not any("RepartitionByExpression [p_partkey" in y for y in lines[max(0, i - 6) : i])]
+
+
+@given
+@pytest.mark.parametrize("name", ["max_spike", "threshold_pools", "threshold_apply", "total_abundance_filter"])
+def test_sequences_of_parts_are_not_broadcast_by_a_guess(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [l_partkey" in plan and "BroadcastHashJoin [l_partkey" not in plan
+
+
+def test_spikes_of_any_number(spark, monkeypatch):
+    seqs = spark.createDataFrame([("a", "ACGT" * 12), ("b", "TTGCA" * 10), ("c", "ACG")], "md5 string, seq string")
+    spikes = spark.createDataFrame([("s1", 2, "ACGT" * 12 + "A"), ("s2", 1, "ACG")], "spike string, spike_order int, spike_seq string")
+    each = []
+    for limit in (100_000, 0):
+        monkeypatch.setattr(thresholds.counted, "__defaults__", ("inner", limit))
+        each.append({(r.md5, r.spike) for r in thresholds.spike_matches(seqs, spikes).collect()})
+    assert each[0] == each[1] == {("a", "s1"), ("c", "s2")}
