@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .denoise import kept
+from .joins import counted
+from .reports import sample_species
+
 
 def species_sets(rows: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
     """sample, species: the sorted set of its species-level names; genera are left out, synonyms replaced."""
@@ -17,14 +21,25 @@ def species_sets(rows: DataFrame, synonyms: DataFrame | None = None) -> DataFram
     return each.groupBy("sample").agg(F.array_sort(F.collect_set(F.when(F.col("name").contains(" "), F.col("name")))).alias("species"))
 
 
+def predicted_sets(tally: DataFrame, found: DataFrame) -> DataFrame:
+    """species_sets() of a tally's samples by its sequences' names in found(marker, md5, names)."""
+    per = sample_species(tally, found)
+    return per.groupBy("sample").agg(F.array_sort(F.collect_list(F.when(F.col("sp").contains(" "), F.col("sp")))).alias("species"))
+
+
+def expected_only(tally: DataFrame, known: DataFrame) -> DataFrame:
+    """The cells of samples whose species are known; paired() leaves out all others."""
+    return counted(tally, known.select("sample").distinct(), "sample", "left_semi")
+
+
 def paired(known: DataFrame, predicted: DataFrame) -> DataFrame:
     """expected, predicted per sample that both sides have."""
     return known.select("sample", F.col("species").alias("expected")).join(predicted.select("sample", F.col("species").alias("predicted")), "sample")
 
 
 def confusion_tally(pairs: DataFrame) -> DataFrame:
-    """How many samples have each pair of expected and predicted lists."""
-    return pairs.groupBy("expected", "predicted").agg(F.count(F.lit(1)).alias("n_samples"))
+    """How many samples have each pair of expected and predicted lists; kept, as what follows reads it several times."""
+    return kept(pairs.sparkSession, pairs.groupBy("expected", "predicted").agg(F.count(F.lit(1)).alias("n_samples")))
 
 
 def species_classes(tally: DataFrame, database: DataFrame, check: bool = False) -> DataFrame:
@@ -65,6 +80,7 @@ def with_metrics(counts: DataFrame) -> DataFrame:
 
 def assessment(binary: DataFrame) -> DataFrame:
     """OVERALL first, then species; those of tp = fp = fn are one last row of all others in the database."""
+    binary = kept(binary.sparkSession, binary)
     boring = (F.col("tp") == F.col("fp")) & (F.col("fp") == F.col("fn"))
     rows = with_metrics(overall_counts(binary)).select(F.lit(0).alias("part"), F.lit("OVERALL").alias("species"), "*")
     own = with_metrics(binary.where(~boring)).select(F.lit(1).alias("part"), "*")

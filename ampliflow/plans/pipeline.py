@@ -41,12 +41,13 @@ def run(reads: DataFrame, samples: DataFrame, refs: DataFrame, spikes: DataFrame
     s = settings or Settings()
     nr = tally.dereplicate(reads)
     cells, limits = sample_tally(nr, samples, spikes, s)
-    # all reports read these two, so they are computed once
+    # all reports read these two, cells and the names of their sequences, so they are computed once
     cells = cells.persist()
-    classified = classify.classify(cells, refs, s.method).persist()
-    out = {"tally": cells, "thresholds": limits, "classified": classified, "samples": reports.sample_report(classified, reports.merged_limits(limits)), "reads": reports.read_report(classified)}
+    found = classify.found(cells, refs, s.method)
+    classified = classify.with_names(cells, found)
+    out = {"tally": cells, "thresholds": limits, "classified": classified, "samples": reports.sample_report(classified, reports.merged_limits(limits)), "reads": reports.read_report(cells, found=found)}
     if known is not None:
-        pairs = assess.paired(assess.species_sets(known), assess.species_sets(classified))
+        pairs = assess.paired(assess.species_sets(known), assess.predicted_sets(assess.expected_only(cells, known), found))
         confusion = assess.confusion_tally(pairs)
         database = refs.where(F.col("species") != "").select(F.concat_ws(" ", "genus", "species").alias("species")).distinct()
         out["assessment"] = assess.assessment(assess.binary_counts(confusion, assess.species_classes(confusion, database)))

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from ampliflow.operators import extras, thresholds
+from ampliflow.operators import assess, classify, extras, reports, thresholds
 from ampliflow.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +61,39 @@ def test_spikes_of_any_number(spark, monkeypatch):
         monkeypatch.setattr(thresholds.counted, "__defaults__", ("inner", limit))
         each.append({(r.md5, r.spike) for r in thresholds.spike_matches(seqs, spikes).collect()})
     assert each[0] == each[1] == {("a", "s1"), ("c", "s2")}
+
+
+def _cells(spark):
+    many = ";".join(f"G{i:03d} s{i % 7}" for i in range(150))
+    names = [("m", "q1", "A b"), ("m", "q2", "A b;C d"), ("m", "q3", ""), ("m", "q4", "Genus"), ("n", "q1", many), ("n", "q5", "G007 s0")]
+    found = spark.createDataFrame(names, "marker string, md5 string, names string").withColumn("taxids", F.lit("0"))
+    rows = [("m", "q1", "S1", 5), ("m", "q2", "S1", 3), ("m", "q2", "S2", 2), ("m", "q3", "S2", 1), ("m", "q4", "S3", 0), ("n", "q1", "S3", 4), ("n", "q5", "S3", 9), ("m", "q3", "S4", 2), ("n", "q1", "S5", 2)]
+    return spark.createDataFrame(rows, "marker string, md5 string, sample string, abundance long"), found
+
+
+def test_names_joined_to_sums_give_the_same_reports(spark):
+    cells, found = _cells(spark)
+    classified = classify.with_names(cells, found)
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    for report in (reports.abundance_by_species, reports.classification_summary, lambda c, found=None: reports.read_report(c, found=found)):
+        assert rows(report(cells, found=found)) == rows(report(classified)) != []
+    assert rows(assess.predicted_sets(cells, found)) == rows(assess.species_sets(classified))
+    stats = cells.select("sample").distinct()
+    assert rows(reports.sample_report(reports.per_combination(classified), stats)) == rows(reports.sample_report(classified, stats))
+
+
+def test_sums_hold_no_names(spark):
+    cells, found = _cells(spark)
+    plan = reports.abundance_by_species(cells, found)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate [sample" in x and "names" in x]
+
+
+def test_only_samples_with_known_species_are_assessed(spark):
+    cells, found = _cells(spark)
+    known = spark.createDataFrame([("S1", "A b"), ("S9", "C d")], "sample string, names string")
+    sets = assess.species_sets(known)
+    few = assess.expected_only(cells, known)
+    assert {r["sample"] for r in few.collect()} == {"S1"}
+    pairs = lambda c: assess.confusion_tally(assess.paired(sets, assess.predicted_sets(c, found))).collect()
+    assert pairs(few) == pairs(cells) == [(["A b"], ["A b", "C d"], 1)]
+    assert "Join" not in assess.confusion_tally(assess.paired(sets, assess.predicted_sets(cells, found)))._jdf.queryExecution().optimizedPlan().toString()
